@@ -5,6 +5,8 @@ from __future__ import annotations
 #: Query name -> (module, function); functions take (spark, sf_dir).
 _QUERIES = {
     "op1_token_orc": "op1",
+    "op5_quality": "op5",
+    "op9_toxicity": "op9",
 }
 
 
@@ -21,6 +23,20 @@ def op1(spark, sf_dir):
     return token_orc_digest(read(spark, sf_dir, "documents"), _public("byte_bpe_50k.json"))
 
 
+def op5(spark, sf_dir):
+    from .common import read
+    from .op05_quality import quality_scores
+
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9(spark, sf_dir):
+    from .common import read
+    from .op09_toxicity import toxicity_scores
+
+    return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {name: globals()[f] for name, f in _QUERIES.items()}
 
