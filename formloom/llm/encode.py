@@ -45,14 +45,14 @@ class Encoder:
     """Token ids of whole texts, without special tokens.
 
     Strings of special tokens in a text are ordinary text.  The cache of parts
-    is bounded by `max_parts`: when it is full, those met once since it was
-    last full go, and all of them if that leaves it over half full.
+    is bounded by `max_parts`: when it is full, the half of them that was met
+    in the fewest blocks goes.
     """
 
     #: A part of its own between others that are encoded in one call.
     BETWEEN = b" \x00"
 
-    def __init__(self, tokenizer_path: str, max_parts: int = 500_000):
+    def __init__(self, tokenizer_path: str, max_parts: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -79,10 +79,14 @@ class Encoder:
 
     def _shrink(self) -> None:
         parts = list(self.known)
-        which = np.flatnonzero(self.met[: len(parts)] > 1)
-        if len(which) > self.max_parts // 2:
-            which = which[:0]
+        met = self.met[: len(parts)]
+        least = 1
+        while (met > least).sum() > self.max_parts // 2:
+            least += 1
+        which = np.flatnonzero(met > least)
+        aged = met[which] // 2
         self._keep(which, [parts[i] for i in which])
+        self.met[: len(which)] = aged
 
     def _ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each part, end to end, and their counts."""
@@ -128,12 +132,17 @@ class Encoder:
         known = self.known
         if missing := [p for p in unique if p not in known]:
             self._learn(missing)
-        at = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))[coded.indices.to_numpy()]
-        self.met[at] += 1
-        counts = self.counts[at]
+        own = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))
+        self.met[own] += 1
+        at = coded.indices.to_numpy()
+        counts = self.counts[own][at]
         run = np.concatenate([[0], np.cumsum(counts)])
-        take = np.arange(run[-1]) + np.repeat(self.starts[at] - run[:-1], counts)
-        return run[np.searchsorted(starts, offsets)], self.ids[take]
+        # The ids of this block's parts end to end, then one copy of them for each place.
+        sizes = self.counts[own]
+        first = np.cumsum(sizes) - sizes
+        ids = self.ids[np.arange(sizes.sum()) + np.repeat(self.starts[own] - first, sizes)]
+        take = np.arange(run[-1]) + np.repeat(first[at] - run[:-1], counts)
+        return run[np.searchsorted(starts, offsets)], ids[take]
 
 
 def encoded_blocks(encoder: Encoder, col: pa.Array, end_id: int):
