@@ -5,6 +5,7 @@ from __future__ import annotations
 #: Query name -> (module, function); functions take (spark, sf_dir).
 _QUERIES = {
     "op1_token_orc": "op1",
+    "op3_jaccard_join": "op3",
     "op5_quality": "op5",
     "op9_toxicity": "op9",
 }
@@ -23,6 +24,13 @@ def op1(spark, sf_dir):
     return token_orc_digest(read(spark, sf_dir, "documents"), _public("byte_bpe_50k.json"))
 
 
+def op3(spark, sf_dir):
+    from .common import read
+    from .op03_jaccard_join import near_duplicate_groups
+
+    return near_duplicate_groups(read(spark, sf_dir, "documents"))
+
+
 def op5(spark, sf_dir):
     from .common import read
     from .op05_quality import quality_scores
