@@ -7,7 +7,9 @@ _QUERIES = {
     "op1_token_orc": "op1",
     "op3_jaccard_join": "op3",
     "op5_quality": "op5",
+    "op6_lz_fingerprint": "op6",
     "op9_toxicity": "op9",
+    "op10_audio_prints": "op10",
 }
 
 
@@ -38,6 +40,13 @@ def op5(spark, sf_dir):
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6(spark, sf_dir):
+    from .common import read
+    from .op06_lz_fingerprint import neighbour_likeness
+
+    return neighbour_likeness(read(spark, sf_dir, "documents"))
+
+
 def op9(spark, sf_dir):
     from .common import read
     from .op09_toxicity import toxicity_scores
@@ -45,6 +54,13 @@ def op9(spark, sf_dir):
     return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10(spark, sf_dir):
+    from .common import read
+    from .op10_audio import audio_digest
+
+    return audio_digest(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: globals()[f] for name, f in _QUERIES.items()}
 
