@@ -8,6 +8,7 @@ _QUERIES = {
     "op3_jaccard_join": "op3",
     "op5_quality": "op5",
     "op6_lz_fingerprint": "op6",
+    "op7_packing": "op7",
     "op9_toxicity": "op9",
     "op10_audio_prints": "op10",
 }
@@ -47,6 +48,13 @@ def op6(spark, sf_dir):
     return neighbour_likeness(read(spark, sf_dir, "documents"))
 
 
+def op7(spark, sf_dir):
+    from .common import read
+    from .op07_packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"), _public("word_bpe_49k.json"))
+
+
 def op9(spark, sf_dir):
     from .common import read
     from .op09_toxicity import toxicity_scores
