@@ -5,6 +5,7 @@ from __future__ import annotations
 #: Query name -> (module, function); functions take (spark, sf_dir).
 _QUERIES = {
     "op1_token_orc": "op1",
+    "op2_license_scan": "op2",
     "op3_jaccard_join": "op3",
     "op5_quality": "op5",
     "op6_lz_fingerprint": "op6",
@@ -27,6 +28,13 @@ def op1(spark, sf_dir):
     return token_orc_digest(read(spark, sf_dir, "documents"), _public("byte_bpe_50k.json"))
 
 
+def op2(spark, sf_dir):
+    from .common import read
+    from .op02_license import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3(spark, sf_dir):
     from .common import read
     from .op03_jaccard_join import near_duplicate_groups
