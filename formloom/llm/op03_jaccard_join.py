@@ -12,10 +12,12 @@ frequency, so that its natural order is rare first:
    met more often are kept at once, so a key of many documents is not gathered
    anywhere.
 3. Pairs with the first document of each key (length and positional filters)
-   are verified; links are contracted to components.  Then all pairs that share
-   a prefix key across components (same filters) are verified.  A pair inside
-   one component cannot change any component, so nothing is lost, and large
-   groups of near copies never become all their pairs.
+   are verified; links are contracted to components.  While many pairs across
+   components share a key, this is repeated with another first document.  Then
+   all pairs that share a prefix key across components (same filters) are
+   verified.  A pair inside one component cannot change any component, so
+   nothing is lost, and large groups of near copies never become all their
+   pairs.
 4. Verification brings the sets of a pair together once: suffix filter, then
    the exact intersection, linked when denominator * inter >= numerator * union.
 
@@ -30,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, LOWER, block_views, mix, ngrams, span_hashes, stored, words
@@ -43,6 +45,10 @@ CHUNK_BITS = 16
 BUCKET_KEYS = 400_000
 #: log2 of the slots in the map of documents whose sets are asked for.
 SLOT_BITS = 25
+#: Rounds with another first document of each key, at most, and the pairs
+#: across components for each posting at which they end; all pairs follow.
+STAR_ROUNDS = 6
+OPEN_PAIRS = 0.5
 #: Set in the position of a posting that only marks its key.
 MARK = 1 << 30
 
@@ -252,14 +258,27 @@ def _postings(docs: DataFrame, sent, n: int, num: int, den: int, n_buckets: int)
     return stored(dealt.mapInArrow(settle, "key long, v long, size int, pos int"), "postings")
 
 
-def _pairs(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, sa, sb) of two posting tables joined on the key, after the
-    length and positional filters."""
+def _open_rows(postings: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """Postings, with their components, of the keys whose documents are in more
+    than one; and the number of pairs across components that share a key."""
+    named = postings.join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    named = stored(named, "named")
+    counts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q")).where("comps > 1")
+    counts = stored(counts, "mixed")
+    across = counts.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
+    return stored(named.join(counts.select("key"), "key", "left_semi"), "open"), int(across)
+
+
+def _pairs(left: DataFrame, right: DataFrame, num: int, den: int, also: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of two posting tables joined on the key, after the length
+    and positional filters."""
     l, r = left.alias("l"), right.alias("r")
     need = F.ceil(F.lit(num) * (F.col("l.size") + F.col("r.size")) / F.lit(num + den))
     best = F.least(F.col("l.size") - F.col("l.pos"), F.col("r.size") - F.col("r.pos"))
     near = (F.col("l.size") * den >= F.col("r.size") * num) & (F.col("r.size") * den >= F.col("l.size") * num)
-    rows = l.join(r, F.col("l.key") == F.col("r.key")).where((F.col("l.v") != F.col("r.v")) & near & (best >= need))
+    which = (F.col("l.v") != F.col("r.v")) & near & (best >= need)
+    rows = l.join(r, (F.col("l.key") == F.col("r.key")) & (which if also is None else which & also))
     rows = rows.select(F.least("l.v", "r.v").alias("a"), F.greatest("l.v", "r.v").alias("b"))
     return rows.distinct()
 
@@ -344,26 +363,23 @@ def near_duplicate_groups(docs: DataFrame, n: int = 5, num: int = 75, den: int =
     hubs = stored(postings.groupBy("key").agg(F.min(F.struct("size", "v", "pos")).alias("h")).select("key", "h.*"), "hubs")
     links = _verified(_pairs(postings, hubs, num, den), docs, keeper, n, num, den)
     labels = components(links)
-    # Keys whose documents are not all in one component.
-    named = postings.join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    named = stored(named, "named")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_keys = stored(named.join(mixed, "key", "left_semi"), "open")
-    across = _pairs_across(open_keys, num, den)
-    more = _verified(across, docs, keeper, n, num, den)
-    labels = components(links.unionByName(more))
+    for k in range(STAR_ROUNDS):
+        rows, across = _open_rows(postings, labels)
+        if across <= OPEN_PAIRS * max(rows.count(), 1):
+            break
+        first = F.min_by(F.struct("size", "v", "pos", "comp"), F.struct(F.xxhash64("v", F.lit(k)), "v"))
+        hubs = stored(rows.groupBy("key").agg(first.alias("h")).select("key", "h.*"), "hubs")
+        more = _verified(_pairs(rows, hubs, num, den, F.col("l.comp") != F.col("r.comp")), docs, keeper, n, num, den)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = components(links)
+    rows, across = _open_rows(postings, labels)
+    if across:
+        pairs = _pairs(rows, rows, num, den, (F.col("l.comp") != F.col("r.comp")) & (F.col("l.v") < F.col("r.v")))
+        labels = components(links.unionByName(_verified(pairs, docs, keeper, n, num, den)))
     vertex = keeper.join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     lowest = vertex.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     vertex = stored(vertex.join(lowest, "comp").select("v", "component_id"), "vertex")
     out = profile.join(vertex, "v", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _pairs_across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    l, r = rows.alias("l"), rows.alias("r")
-    need = F.ceil(F.lit(num) * (F.col("l.size") + F.col("r.size")) / F.lit(num + den))
-    best = F.least(F.col("l.size") - F.col("l.pos"), F.col("r.size") - F.col("r.pos"))
-    near = (F.col("l.size") * den >= F.col("r.size") * num) & (F.col("r.size") * den >= F.col("l.size") * num)
-    across = (F.col("l.comp") != F.col("r.comp")) & (F.col("l.v") < F.col("r.v"))
-    rows = l.join(r, (F.col("l.key") == F.col("r.key")) & across & near & (best >= need))
-    return rows.select(F.col("l.v").alias("a"), F.col("r.v").alias("b")).distinct()
