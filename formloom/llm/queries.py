@@ -7,6 +7,7 @@ _QUERIES = {
     "op1_token_orc": "op1",
     "op2_license_scan": "op2",
     "op3_jaccard_join": "op3",
+    "op4_chat_tree": "op4",
     "op5_quality": "op5",
     "op6_lz_fingerprint": "op6",
     "op7_packing": "op7",
@@ -42,6 +43,23 @@ def op3(spark, sf_dir):
     return near_duplicate_groups(read(spark, sf_dir, "documents"))
 
 
+def op4(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .common import read
+    from .op04_chat_tree import chat_digest
+
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_digest(rows.unionByName(more), _public("byte_bpe_50k.json"))
+
+
 def op5(spark, sf_dir):
     from .common import read
     from .op05_quality import quality_scores
