@@ -49,6 +49,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 # ---------------------------------------------------------------- Arrow text
 
 def text_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

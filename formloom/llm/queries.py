@@ -11,12 +11,13 @@ _QUERIES = {
     "op5_quality": "op5",
     "op6_lz_fingerprint": "op6",
     "op7_packing": "op7",
+    "op8_mixing": "op8",
     "op9_toxicity": "op9",
     "op10_audio_prints": "op10",
 }
 
 
-def _public(name: str) -> str:
+def public_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -26,7 +27,7 @@ def op1(spark, sf_dir):
     from .common import read
     from .op01_token_orc import token_orc_digest
 
-    return token_orc_digest(read(spark, sf_dir, "documents"), _public("byte_bpe_50k.json"))
+    return token_orc_digest(read(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
 def op2(spark, sf_dir):
@@ -57,7 +58,7 @@ def op4(spark, sf_dir):
         F.lit(said).alias("text"),
     )
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat_digest(rows.unionByName(more), _public("byte_bpe_50k.json"))
+    return chat_digest(rows.unionByName(more), public_path("byte_bpe_50k.json"))
 
 
 def op5(spark, sf_dir):
@@ -78,7 +79,24 @@ def op7(spark, sf_dir):
     from .common import read
     from .op07_packing import pack_documents
 
-    return pack_documents(read(spark, sf_dir, "documents"), _public("word_bpe_49k.json"))
+    return pack_documents(read(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
+
+
+#: Shares of all tokens that the mixture gives to the domains.
+TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def labelled_domains(docs, labels):
+    """The domain (language) of the labelled documents."""
+    return docs.select("doc_id", docs["lang"].alias("domain")).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def op8(spark, sf_dir):
+    from .common import read
+    from .op08_mixing import mixture_report
+
+    docs = read(spark, sf_dir, "documents")
+    return mixture_report(docs, labelled_domains(docs, read(spark, sf_dir, "labels")), TARGETS)
 
 
 def op9(spark, sf_dir):
