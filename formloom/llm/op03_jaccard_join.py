@@ -11,15 +11,15 @@ frequency, so that its natural order is rare first:
    are sent, packed, to buckets where those met nowhere else fall away; keys
    met more often are kept at once, so a key of many documents is not gathered
    anywhere.
-3. Pairs with the first document of each key (length and positional filters)
-   are verified; links are contracted to components.  While many pairs across
-   components share a key, this is repeated with another first document.  Then
-   all pairs that share a prefix key across components (same filters) are
-   verified.  A pair inside one component cannot change any component, so
-   nothing is lost, and large groups of near copies never become all their
-   pairs.
-4. Verification brings the sets of a pair together once: suffix filter, then
-   the exact intersection, linked when denominator * inter >= numerator * union.
+3. Sets joined by prefix keys, through the first set of each key, are candidate
+   groups (contraction to components); linked sets always share a group.  Each
+   set of a group is sent once to the group's task.  There prefix keys give
+   candidates, which length, positional and suffix filters thin out; those left
+   are verified once by exact intersection: linked when denominator * inter >=
+   numerator * union.  Links are followed outward, so pairs inside what is
+   already linked need no check.  A group with more than GROUP_KEYS keys is
+   compared part against part in several tasks.
+4. The links, at most one for each set and part, are contracted to components.
 
 Defined cases: null text, no words: empty set, linked with nothing, its own
 component; fewer than `n` words: the sequence is the one shingle; repeated rows
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, LOWER, block_views, mix, ngrams, span_hashes, stored, words
@@ -45,10 +45,8 @@ CHUNK_BITS = 16
 BUCKET_KEYS = 400_000
 #: log2 of the slots in the map of documents whose sets are asked for.
 SLOT_BITS = 25
-#: Rounds with another first document of each key, at most, and the pairs
-#: across components for each posting at which they end; all pairs follow.
-STAR_ROUNDS = 6
-OPEN_PAIRS = 0.5
+#: Keys of all sets of a candidate group that one task compares, at most.
+GROUP_KEYS = 4_000_000
 #: Set in the position of a posting that only marks its key.
 MARK = 1 << 30
 
@@ -258,96 +256,139 @@ def _postings(docs: DataFrame, sent, n: int, num: int, den: int, n_buckets: int)
     return stored(dealt.mapInArrow(settle, "key long, v long, size int, pos int"), "postings")
 
 
-def _open_rows(postings: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
-    """Postings, with their components, of the keys whose documents are in more
-    than one; and the number of pairs across components that share a key."""
-    named = postings.join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    named = stored(named, "named")
-    counts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q")).where("comps > 1")
-    counts = stored(counts, "mixed")
-    across = counts.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-    return stored(named.join(counts.select("key"), "key", "left_semi"), "open"), int(across)
-
-
-def _pairs(left: DataFrame, right: DataFrame, num: int, den: int, also: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of two posting tables joined on the key, after the length
-    and positional filters."""
-    l, r = left.alias("l"), right.alias("r")
-    need = F.ceil(F.lit(num) * (F.col("l.size") + F.col("r.size")) / F.lit(num + den))
-    best = F.least(F.col("l.size") - F.col("l.pos"), F.col("r.size") - F.col("r.pos"))
-    near = (F.col("l.size") * den >= F.col("r.size") * num) & (F.col("r.size") * den >= F.col("l.size") * num)
-    which = (F.col("l.v") != F.col("r.v")) & near & (best >= need)
-    rows = l.join(r, (F.col("l.key") == F.col("r.key")) & (which if also is None else which & also))
-    rows = rows.select(F.least("l.v", "r.v").alias("a"), F.greatest("l.v", "r.v").alias("b"))
-    return rows.distinct()
-
-
-def _may_link(x: np.ndarray, y: np.ndarray, need: int, parts: int = 8) -> bool:
-    """Suffix filter: parts of y's sorted keys and the parts of x between the
-    same pivots cannot share more than the smaller of the two."""
-    if len(y) < 2 * parts:
-        return min(len(x), len(y)) >= need
-    at = np.arange(1, parts) * len(y) // parts
-    cut = np.searchsorted(x, y[at])
-    px = np.diff(np.concatenate([[0], cut, [len(x)]]))
-    py = np.diff(np.concatenate([[0], at, [len(y)]]))
-    return int(np.minimum(px, py).sum()) >= need
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, keeper: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of vertices whose sets are alike enough."""
+def linked_roots(bodies: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """For each set, the number of a set that it is linked with by a chain.
+
+    Sets are keys in rare-first order.  From each set not reached yet its links
+    are followed; a set that was reached is never a candidate again, so no pair
+    is verified twice and pairs inside what is already linked not at all.
+    """
+    n = len(bodies)
+    size = np.array([len(b) for b in bodies], np.int64)
+    start = np.concatenate([[0], np.cumsum(size)])
+    flat = np.concatenate(bodies) if n else np.zeros(0, _U64)
+    want = prefix_size(size, num, den)
+    doc = np.repeat(np.arange(n), want)
+    pos = np.arange(want.sum()) - np.repeat(np.cumsum(want) - want, want)
+    _, key = np.unique(flat[start[doc] + pos], return_inverse=True)
+    first_of = np.concatenate([[0], np.cumsum(want)])
+    # Suffix filter: between the same pivots two sets cannot share more keys
+    # than the smaller of their numbers there.
+    pivots = np.quantile(flat.astype(np.float64), np.linspace(0, 1, 10)[1:-1]) if len(flat) else np.zeros(8)
+    part = np.searchsorted(pivots, flat.astype(np.float64))
+    spread = np.bincount(np.repeat(np.arange(n), size) * 9 + part, minlength=9 * n).reshape(n, 9)
+
+    def lists(alive):
+        use = np.flatnonzero(alive[doc])
+        use = use[np.argsort(key[use], kind="stable")]
+        return doc[use], pos[use], np.searchsorted(key[use], np.arange(int(key.max()) + 2 if len(key) else 1))
+
+    root, alive, held = np.arange(n), np.ones(n, bool), n
+    docs_at, pos_at, edge = lists(alive)
+    for s in np.argsort(size, kind="stable").tolist():
+        if not alive[s]:
+            continue
+        alive[s] = False
+        stack = [s]
+        while stack:
+            x = stack.pop()
+            keys = key[first_of[x] : first_of[x + 1]]
+            count = edge[keys + 1] - edge[keys]
+            if not count.sum():
+                continue
+            at = np.arange(count.sum()) + np.repeat(edge[keys] - np.cumsum(count) + count, count)
+            y, room_x, room_y = docs_at[at], size[x] - np.repeat(np.arange(len(keys)), count), pos_at[at]
+            ok = alive[y]
+            y, room_x, room_y = y[ok], room_x[ok], size[y[ok]] - room_y[ok]
+            need = -(-num * (size[x] + size[y]) // (num + den))
+            ok = (den * size[y] >= num * size[x]) & (den * size[x] >= num * size[y]) & (np.minimum(room_x, room_y) >= need)
+            y = np.unique(y[ok])
+            need = -(-num * (size[x] + size[y]) // (num + den))
+            ok = np.minimum(spread[x], spread[y]).sum(1) >= need
+            y, need = y[ok], need[ok]
+            if not len(y):
+                continue
+            own = np.sort(bodies[x])
+            at = np.arange(size[y].sum()) + np.repeat(start[y] - np.cumsum(size[y]) + size[y], size[y])
+            near = np.searchsorted(own, flat[at])
+            same = own[np.minimum(near, len(own) - 1)] == flat[at]
+            shared = np.bincount(np.repeat(np.arange(len(y)), size[y])[same], minlength=len(y))
+            y = y[shared >= need]
+            alive[y] = False
+            root[y] = s
+            stack += y.tolist()
+        left = int(alive.sum())
+        if left < held // 2:
+            held = left
+            docs_at, pos_at, edge = lists(alive)
+    return root
+
+
+def _links(docs: DataFrame, groups: DataFrame, keeper: DataFrame, sent, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what is linked inside each candidate group;
+    `groups` has (v, comp, size)."""
     spark = docs.sparkSession
-    pairs = stored(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct().join(keeper, "v")
-    asked = stored(asked, "asked")  # (v, doc_id)
+    total = groups.groupBy("comp").agg(F.sum("size").alias("total"))
+    parts = F.ceil(F.col("total") / (GROUP_KEYS // 2)).cast("int")
+    wide = groups.join(total, "comp").withColumn("parts", F.when(F.col("total") <= GROUP_KEYS, 1).otherwise(parts))
+    asked = stored(wide.join(keeper, "v").select("v", "doc_id", "comp", "parts"), "asked")
     # A bit map of fixed size tells which documents can be among those asked
-    # for; the join below makes it exact.
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS)) + 1  # noqa: E731  (bitmap functions count from 1)
+    # for; the join below makes it exact.  Bitmap functions count from 1.
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS)) + 1
     maps = asked.select(slot(F.col("doc_id")).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
     table = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
     for r in maps.collect():  # at most 2**SLOT_BITS / 32768 rows of 4 KB
         lo = (r.k - 1) * 4096
         table[lo : lo + 4096] = np.frombuffer(bytes(r.m), np.uint8)
-    sent = spark.sparkContext.broadcast(table)
+    slots = spark.sparkContext.broadcast(table)
 
     def sets(batches):
-        bits, seen = sent.value, set()
+        bits, order, seen = slots.value, _Order(sent.value), set()
         for batch in batches:
             s = batch.column("slot").to_numpy() - 1
             batch = batch.filter(pa.array((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1))
             for i, j, data, offsets in block_views(batch.column("text")):
                 g, bounds = shingle_sets(data, offsets, n)
-                v = set_hash(g, bounds)
-                take = []
+                v, take = set_hash(g, bounds), []
                 for k, x in enumerate(v.tolist()):
                     if x not in seen and bounds[k + 1] > bounds[k]:
                         seen.add(x)
                         take.append(k)
                 if take:
-                    body = [g[bounds[k] : bounds[k + 1]].tobytes() for k in take]
+                    key = order.keys(g, bounds)
+                    body = [key[bounds[k] : bounds[k + 1]].tobytes() for k in take]
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(take)), pa.array(v[take]), pa.array(body, pa.binary())], names=["doc_id", "v", "body"])
 
     def compare(batches):
+        now, held = None, {}
+
+        def links():
+            vs = list(held)
+            root = linked_roots([held[v] for v in vs], num, den)
+            far = np.flatnonzero(root != np.arange(len(vs)))
+            ids = np.array(vs, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], names=["a", "b"])
+
         for batch in batches:
-            a, b, ok = batch.column("body_a"), batch.column("body_b"), []
-            for k in range(batch.num_rows):
-                x, y = np.frombuffer(a[k].as_buffer(), _U64), np.frombuffer(b[k].as_buffer(), _U64)
-                need = -(-num * (len(x) + len(y)) // (num + den))
-                good = _may_link(x, y, need)
-                if good:
-                    both = np.concatenate([x, y])
-                    both.sort(kind="stable")
-                    good = int((both[1:] == both[:-1]).sum()) >= need
-                ok.append(good)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
-
-    found = docs.withColumn("slot", slot(F.col("doc_id"))).mapInArrow(sets, "doc_id long, v long, body binary")
-    found = found.join(asked, ["doc_id", "v"], "left_semi").select("v", "body")
-    found = stored(found, "sets")
-    rows = pairs.join(found.select(F.col("v").alias("a"), F.col("body").alias("body_a")), "a")
-    rows = rows.join(found.select(F.col("v").alias("b"), F.col("body").alias("body_b")), "b")
-    return stored(rows.select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long"), "links")
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("comp", "lo", "hi"))))
+            for k, v, body in zip(keys, batch.column("v").to_pylist(), batch.column("body")):
+                if k != now and held:
+                    yield links()
+                    held = {}
+                now = k
+                held[v] = np.frombuffer(body.as_py(), _U64)
+        if held:
+            yield links()
+
+    found = docs.withColumn("slot", slot(F.col("doc_id"))).mapInArrow(sets, "doc_id long, v long, body binary").join(asked, ["doc_id", "v"])
+    # A group too large for one task is compared part against part, all pairs
+    # of parts, so that every two of its sets meet.
+    own = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = found.select("comp", "v", "body", own.alias("own"), other)
+    dealt = dealt.select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "v", "body")
+    dealt = dealt.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
+    return stored(dealt.mapInArrow(compare, "a long, b long"), "links")
 
 
 def near_duplicate_groups(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -360,24 +401,13 @@ def near_duplicate_groups(docs: DataFrame, n: int = 5, num: int = 75, den: int =
     keeper = stored(profile.where("size > 0").groupBy("v").agg(F.min("doc_id").alias("doc_id")), "keeper")
     total = profile.agg(F.sum(F.col("size") - F.ceil(F.col("size") * num / den) + 1)).first()[0] or 0
     postings = _postings(docs, sent, n, num, den, max(1, round(total / BUCKET_KEYS)))
-    hubs = stored(postings.groupBy("key").agg(F.min(F.struct("size", "v", "pos")).alias("h")).select("key", "h.*"), "hubs")
-    links = _verified(_pairs(postings, hubs, num, den), docs, keeper, n, num, den)
+    # Sets that share a prefix key, by a chain, are a candidate group.
+    hubs = stored(postings.groupBy("key").agg(F.min("v").alias("b")), "hubs")
+    shared = postings.join(hubs, "key").select(F.col("v").alias("a"), "b").distinct()
+    groups = components(shared).withColumnRenamed("node", "v")
+    sizes = postings.groupBy("v").agg(F.max("size").alias("size"))
+    links = _links(docs, stored(groups.join(sizes, "v"), "groups"), keeper, sent, n, num, den)
     labels = components(links)
-    for k in range(STAR_ROUNDS):
-        rows, across = _open_rows(postings, labels)
-        if across <= OPEN_PAIRS * max(rows.count(), 1):
-            break
-        first = F.min_by(F.struct("size", "v", "pos", "comp"), F.struct(F.xxhash64("v", F.lit(k)), "v"))
-        hubs = stored(rows.groupBy("key").agg(first.alias("h")).select("key", "h.*"), "hubs")
-        more = _verified(_pairs(rows, hubs, num, den, F.col("l.comp") != F.col("r.comp")), docs, keeper, n, num, den)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        labels = components(links)
-    rows, across = _open_rows(postings, labels)
-    if across:
-        pairs = _pairs(rows, rows, num, den, (F.col("l.comp") != F.col("r.comp")) & (F.col("l.v") < F.col("r.v")))
-        labels = components(links.unionByName(_verified(pairs, docs, keeper, n, num, den)))
     vertex = keeper.join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     lowest = vertex.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     vertex = stored(vertex.join(lowest, "comp").select("v", "component_id"), "vertex")
