@@ -1,16 +1,15 @@
 """N-gram Jaccard join: near duplicates by shared word shingles.
 
-A document's set holds its distinct `n`-word shingles as 64-bit keys.  Equal
-sets are one vertex.  A key starts with the level of the shingle's corpus
-frequency, so that its natural order is rare first:
-
-1. One pass makes each document's set size and set hash, and a sketch of fixed
-   size that counts all shingles of all documents; the sketch's log levels are
-   broadcast.  It only decides the order, never a link.
-2. One pass emits the prefix of each set.  Prefix keys that a task meets once
-   are sent, packed, to buckets where those met nowhere else fall away; keys
-   met more often are kept at once, so a key of many documents is not gathered
-   anywhere.
+A document's set holds its distinct `n`-word shingles as 64-bit hashes.  Equal
+sets are one vertex, kept once.
+
+1. One pass makes each document's set size and set hash.
+2. One pass sends every shingle of every kept set, packed to a few bytes, to
+   buckets, which count in how many sets each stands.  Only shared shingles
+   come back to the block of documents they are from.  There each set is
+   ordered rare first: those of no other set, then by frequency.  Of its prefix
+   (size - ceil(t * size) + 1) the shared part is emitted; a set with enough
+   shingles of its own has none and is out.
 3. Sets joined by prefix keys, through the first set of each key, are candidate
    groups (contraction to components); linked sets always share a group.  Each
    set of a group is sent once to the group's task.  There prefix keys give
@@ -21,6 +20,9 @@ frequency, so that its natural order is rare first:
    compared part against part in several tasks.
 4. The links, at most one for each set and part, are contracted to components.
 
+Blocks, buckets and group parts have a bounded size; nothing gathers the sets of
+one shingle, and no pairs are written.
+
 Defined cases: null text, no words: empty set, linked with nothing, its own
 component; fewer than `n` words: the sequence is the one shingle; repeated rows
 are one vertex; rows that share a doc_id with other text are judged each by its
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +42,17 @@ from .common import ASCII_SPACE, LOWER, block_views, mix, ngrams, span_hashes, s
 from .components import components
 
 _U64 = np.uint64
-SKETCH_BITS = 22
-CHUNK_BITS = 16
-#: Prefix keys in one bucket of step 2, about.
-BUCKET_KEYS = 400_000
-#: log2 of the slots in the map of documents whose sets are asked for.
+#: Shingles in one bucket and in one block of step 2, about.
+BUCKET_KEYS = 1_000_000
+BLOCK_KEYS = 1_500_000
+#: Bits of a shingle's hash that are sent, besides those that choose the bucket.
+SENT_BYTES = 5
+#: log2 of the slots in the map of documents that a pass looks at.
 SLOT_BITS = 25
 #: Keys of all sets of a candidate group that one task compares, at most.
 GROUP_KEYS = 4_000_000
-#: Set in the position of a posting that only marks its key.
-MARK = 1 << 30
+#: Stands for a null doc_id inside.
+NO_ID = (1 << 63) - 1
 
 
 def shingle_sets(data, offsets, n: int):
@@ -83,205 +87,211 @@ def set_hash(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(run[bounds[1:]] - run[bounds[:-1]] + np.diff(bounds).astype(_U64)).view(np.int64)
 
 
-def _levels_of(rows: DataFrame) -> np.ndarray:
-    """Log levels (uint8) of the summed sketch."""
-    size = 1 << CHUNK_BITS
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, dense, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                x = np.frombuffer(body.as_buffer(), np.uint16)
-                t = total.setdefault(chunk, np.zeros(size, np.int64))
-                if dense:
-                    t += x
-                else:
-                    t[x[0::2]] += x[1::2]
-        chunks = sorted(total)
-        level = [np.floor(4 * np.log2(np.maximum(total[c], 1))).astype(np.uint8).tobytes() for c in chunks]
-        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(level, pa.binary())], names=["chunk", "level"])
-
-    # 2**(SKETCH_BITS - CHUNK_BITS) rows of 64 KB come back, whatever the input.
-    got = rows.repartition(16, "chunk").mapInArrow(add, "chunk int, level binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in got:
-        out[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(r.level, np.uint8)
-    return out
+def prefix_size(size, num: int, den: int):
+    """Keys of a set of `size` among which one is shared with any linked set."""
+    return np.where(size > 0, size - -(-num * size // den) + 1, 0)
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """Step 1: rows (doc_id, size, v) of documents and (chunk, dense, body) of
-    the sketch."""
-    size = 1 << CHUNK_BITS
+    """Step 1: (id, size, v) of each document."""
 
     def run(batches):
-        count = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "size", "v", "chunk", "dense", "body"]
         for batch in batches:
             for i, j, data, offsets in block_views(batch.column("text")):
                 g, bounds = shingle_sets(data, offsets, n)
-                np.add.at(count, (g >> _U64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                none = [pa.nulls(j - i, t) for t in (pa.int32(), pa.bool_(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(bounds)), pa.array(set_hash(g, bounds)), *none], names=names)
-        count = np.minimum(count, 65535).astype(np.uint16).reshape(-1, size)
-        some = np.flatnonzero(count.any(1))
-        for at in range(0, len(some), 8):
-            part, bodies, dense = some[at : at + 8], [], []
-            for c in part:
-                full = np.flatnonzero(count[c])
-                dense.append(bool(len(full) > size // 4))
-                bodies.append(count[c].tobytes() if dense[-1] else np.stack([full.astype(np.uint16), count[c][full]], 1).tobytes())
-            none = [pa.nulls(len(part), pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([*none, pa.array(part.astype(np.int32)), pa.array(dense), pa.array(bodies, pa.binary())], names=names)
-
-    return docs.mapInArrow(run, "doc_id long, size long, v long, chunk int, dense boolean, body binary")
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(np.diff(bounds)), pa.array(set_hash(g, bounds))], names=["id", "size", "v"])
 
+    return docs.mapInArrow(run, "id long, size long, v long")
 
-class _Order:
-    """Rare-first keys of shingle hashes."""
 
-    def __init__(self, levels: np.ndarray):
-        self.levels = levels
+def _slot(c):
+    """Bitmap functions count from 1."""
+    return F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS)) + 1
 
-    def keys(self, g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Each set's keys, rare first."""
-        level = self.levels[(g >> _U64(64 - SKETCH_BITS)).astype(np.int64)].astype(_U64)
-        key = (level << _U64(56)) | (mix(g) >> _U64(8))
-        docs = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        return key[np.lexsort((key, docs))]
 
-
-def prefix_size(size, num: int, den: int):
-    """Keys of a set of `size` among which one is shared with any linked set."""
-    return np.where(size > 0, size - -(-num * size // den) + 1, 0)
+def _slots_of(ids: DataFrame):
+    """A broadcast bit map, of fixed size, of the slots of column id: what is not
+    in it is not among the ids."""
+    maps = ids.select(_slot("id").alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    table = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
+    for r in maps.collect():  # at most 2**SLOT_BITS / 32768 rows of 4 KB
+        lo = (r.k - 1) * 4096
+        table[lo : lo + 4096] = np.frombuffer(bytes(r.m), np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(table)
+
+
+def _own_sets(batches, bits: np.ndarray, n: int):
+    """(ids, v, g, bounds) of the sets that this task meets first, of rows whose
+    slot is marked in the bit map."""
+    seen: set[int] = set()
+    for batch in batches:
+        s = batch.column("slot").to_numpy() - 1
+        batch = batch.filter(pa.array((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1))
+        for i, j, data, offsets in block_views(batch.column("text")):
+            g, bounds = shingle_sets(data, offsets, n)
+            v, size = set_hash(g, bounds), np.diff(bounds)
+            fresh = np.zeros(len(v), bool)
+            for k, x in enumerate(v.tolist()):
+                if size[k] and x not in seen:
+                    seen.add(x)
+                    fresh[k] = True
+            keep = np.repeat(fresh, size)
+            yield batch.column("id").to_numpy()[i:j][fresh], v[fresh], g[keep], np.concatenate([[0], np.cumsum(size[fresh])])
 
 
 _POSTING = pa.schema([("key", pa.int64()), ("v", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
+_SENT = pa.schema([("route", pa.int32()), ("block", pa.int64()), ("doc", pa.binary()), ("key", pa.binary()), ("level", pa.binary())])
 
 
-def _postings(docs: DataFrame, sent, n: int, num: int, den: int, n_buckets: int) -> DataFrame:
-    """Step 2: prefix keys that at least two different sets have."""
+def _postings(docs: DataFrame, bits, n: int, num: int, den: int, n_buckets: int) -> DataFrame:
+    """Step 2: the shared keys of each set's prefix."""
+    low_bits = _U64((1 << 8 * SENT_BYTES) - 1)
 
-    def emit(batches):
-        order, seen, held, held_n = _Order(sent.value), set(), [], 0
-        names = ["bucket", "body", "key", "v", "size", "pos"]
+    def send(batches):
+        """Rows of a block and bucket: doc has how many keys each document has
+        there, key their hashes.  The block's own row has v and sizes."""
+        held, count, block = [], 0, TaskContext.get().partitionId() << 24
 
         def flush():
-            key, v, size, pos = (np.concatenate(x) for x in zip(*held))
-            o = np.argsort(key, kind="stable")
-            key, v, size, pos = key[o], v[o], size[o], pos[o]
-            same = np.zeros(len(key), bool)
-            same[1:] = key[1:] == key[:-1]
-            alone = ~same
-            alone[:-1] &= ~same[1:]
-            many = np.flatnonzero(~alone)
-            for at in range(0, len(many), 50_000):
-                w = many[at : at + 50_000]
-                route = n_buckets + (np.arange(len(w)) + at) % n_buckets
-                yield pa.RecordBatch.from_arrays([pa.array(route.astype(np.int32)), pa.nulls(len(w), pa.binary()), pa.array(key[w].view(np.int64)), pa.array(v[w]), pa.array(size[w]), pa.array(pos[w])], names=names)
-            # One marked posting of each such key tells its bucket of it.
-            send = alone | (~alone & ~same)
-            pos = np.where(alone, pos, pos | MARK).astype(np.int32)
-            key, v, size, pos = key[send], v[send], size[send], pos[send]
-            bucket = (mix(key) % _U64(n_buckets)).astype(np.int64)
-            o = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[o], np.arange(n_buckets + 1))
-            full = np.flatnonzero(np.diff(edges))
-            body = [b"".join(x[o[edges[b] : edges[b + 1]]].tobytes() for x in (key, v, size, pos)) for b in full]
-            none = [pa.nulls(len(full), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(body, pa.binary()), *none], names=names)
-
-        for batch in batches:
-            for _, _, data, offsets in block_views(batch.column("text")):
-                g, bounds = shingle_sets(data, offsets, n)
-                size, v = np.diff(bounds), set_hash(g, bounds)
-                fresh = np.zeros(len(v), bool)
-                for k, x in enumerate(v.tolist()):
-                    if size[k] and x not in seen:
-                        seen.add(x)
-                        fresh[k] = True
-                key = order.keys(g, bounds)
-                want = np.where(fresh, prefix_size(size, num, den), 0)
-                pos = np.arange(want.sum()) - np.repeat(np.cumsum(want) - want, want)
-                key = key[np.repeat(bounds[:-1], want) + pos]
-                held.append((key, np.repeat(v, want), np.repeat(size, want).astype(np.int32), pos.astype(np.int32)))
-                held_n += len(key)
-                if held_n > 1_500_000:
-                    yield from flush()
-                    held, held_n = [], 0
-        if held_n:
+            v, g, size = (np.concatenate(x) for x in zip(*held))
+            doc, h = np.repeat(np.arange(len(v)), size), mix(g)
+            bucket, rest = (h % _U64(n_buckets)).astype(np.int64), (h // _U64(n_buckets)) & low_bits
+            order = np.argsort(bucket, kind="stable")
+            doc, rest = doc[order], rest[order]
+            edge = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            full = np.flatnonzero(np.diff(edge))
+            for at in range(0, len(full), 256):
+                part = full[at : at + 256]
+                docs_of = [np.bincount(doc[edge[b] : edge[b + 1]], minlength=len(v)).astype(np.uint16).tobytes() for b in part]
+                keys = [np.ascontiguousarray(rest[edge[b] : edge[b + 1]].view(np.uint8).reshape(-1, 8)[:, :SENT_BYTES]).tobytes() for b in part]
+                m = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(m, block)), pa.array(docs_of, pa.binary()), pa.array(keys, pa.binary()), pa.nulls(m, pa.binary())], schema=_SENT)
+            own = [pa.array([n_buckets + block % n_buckets], pa.int32()), pa.array([block]), pa.array([v.tobytes()], pa.binary()), pa.array([size.astype(np.int64).tobytes()], pa.binary()), pa.nulls(1, pa.binary())]
+            yield pa.RecordBatch.from_arrays(own, schema=_SENT)
+
+        for _, v, g, bounds in _own_sets(batches, bits.value, n):
+            held.append((v, g, np.diff(bounds)))
+            count += len(g)
+            if count >= BLOCK_KEYS:
+                yield from flush()
+                held, count, block = [], 0, block + 1
+        if count:
             yield from flush()
 
     def settle(batches):
-        """Packed bodies, sorted by bucket, to postings; other rows pass."""
-        now, bodies = None, []
+        """Of each bucket, the keys that stand more than once, with log levels of
+        their counts, as rows of their blocks."""
+        now, rows = None, []
 
         def done():
-            cols = [[], [], [], []]
-            for raw in bodies:
-                m = len(raw) // 24
-                for c, dtype, lo in ((0, _U64, 0), (1, np.int64, 8), (2, np.int32, 16), (3, np.int32, 20)):
-                    cols[c].append(np.frombuffer(raw, dtype, m, lo * m))
-            key, v, size, pos = map(np.concatenate, cols)
-            o = np.lexsort((pos >= MARK, v, key))
-            key, v, size, pos = key[o], v[o], size[o], pos[o]
-            keep = np.ones(len(key), bool)
-            keep[1:] = (key[1:] != key[:-1]) | (v[1:] != v[:-1]) | (pos[1:] != pos[:-1])
-            key, v, size, pos = key[keep], v[keep], size[keep], pos[keep]
-            same = np.zeros(len(key), bool)
-            same[1:] = key[1:] == key[:-1]
-            many = same.copy()
-            many[:-1] |= same[1:]
-            many &= pos < MARK
-            return pa.RecordBatch.from_arrays([pa.array(key[many].view(np.int64)), pa.array(v[many]), pa.array(size[many]), pa.array(pos[many])], schema=_POSTING)
+            keys, docs_of, source = [], [], []
+            for k, (_, doc, key) in enumerate(rows):
+                times = np.frombuffer(doc, np.uint16)
+                raw = np.zeros((len(key) // SENT_BYTES, 8), np.uint8)
+                raw[:, :SENT_BYTES] = np.frombuffer(key, np.uint8).reshape(-1, SENT_BYTES)
+                keys.append(raw.view(_U64).ravel())
+                docs_of.append(np.repeat(np.arange(len(times), dtype=np.int32), times))
+                source.append(np.full(len(raw), k, np.int32))
+            key, doc, source = map(np.concatenate, (keys, docs_of, source))
+            order = np.argsort(key, kind="stable")
+            key, doc, source = key[order], doc[order], source[order]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            times = np.diff(np.append(start, len(key)))
+            many = np.repeat(times > 1, times)
+            level = np.repeat(np.minimum(np.floor(4 * np.log2(times)), 255).astype(np.uint8), times)[many]
+            key, doc, source = key[many] * _U64(n_buckets) + _U64(now), doc[many], source[many]
+            order = np.argsort(source, kind="stable")
+            key, doc, level = key[order], doc[order], level[order]
+            edge = np.searchsorted(source[order], np.arange(len(rows) + 1))
+            full = np.flatnonzero(np.diff(edge))
+            cut = lambda x: pa.array([x[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int32()), pa.array([rows[k][0] for k in full], pa.int64()), cut(doc), cut(key), cut(level)], schema=_SENT)
 
         for batch in batches:
-            routes = batch.column(0).to_numpy()
-            direct = batch.filter(pa.array(routes >= n_buckets))
-            if direct.num_rows:
-                yield pa.RecordBatch.from_arrays(direct.columns[2:], schema=_POSTING)
-            packed = np.flatnonzero(routes < n_buckets)
-            bodies_in = batch.column(1)
-            for k in packed.tolist():
-                if routes[k] != now and bodies:
-                    yield done()
-                    bodies = []
-                now = routes[k]
-                bodies.append(bodies_in[k].as_py())
-        if bodies:
+            route = batch.column("route").to_numpy()
+            own = batch.filter(pa.array(route >= n_buckets))
+            if own.num_rows:
+                yield own
+            for k in np.flatnonzero(route < n_buckets).tolist():
+                if route[k] != now:
+                    if rows:
+                        yield done()
+                    now, rows = int(route[k]), []
+                rows.append((batch.column("block")[k].as_py(), batch.column("doc")[k].as_py(), batch.column("key")[k].as_py()))
+        if rows:
             yield done()
 
-    rows = docs.mapInArrow(emit, "route int, body binary, key long, v long, size int, pos int")
-    dealt = rows.repartition("route").sortWithinPartitions("route")
-    return stored(dealt.mapInArrow(settle, "key long, v long, size int, pos int"), "postings")
+    def prefixes(batches):
+        """Shared keys of the prefixes of a block's sets; the block's own row
+        (route not null) comes first or last."""
+        now, own, rows = None, None, []
+
+        def done():
+            v, size = np.frombuffer(own[0], np.int64), np.frombuffer(own[1], np.int64)
+            doc, key, level = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((np.int32, _U64, np.uint8)))
+            order = np.lexsort((key, level, doc))
+            doc, key = doc[order], key[order]
+            shared = np.bincount(doc, minlength=len(v))
+            alone = size - shared
+            take = np.clip(prefix_size(size, num, den) - alone, 0, shared)
+            first = np.cumsum(shared) - shared
+            rank = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+            at = np.repeat(first, take) + rank
+            d = doc[at]
+            for lo in range(0, len(at), 100_000):
+                w = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(key[at[w]].view(np.int64)), pa.array(v[d[w]]), pa.array(size[d[w]].astype(np.int32)), pa.array((alone[d[w]] + rank[w]).astype(np.int32))], schema=_POSTING)
+
+        for batch in batches:
+            for route, block, doc, key, level in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != now:
+                    if rows:
+                        yield from done()
+                    now, own, rows = block, None, []
+                if route is None:
+                    rows.append((doc, key, level))
+                else:
+                    own = (doc, key)
+        if rows:
+            yield from done()
+
+    schema = "route int, block long, doc binary, key binary, level binary"
+    sent = docs.mapInArrow(send, schema).repartition("route").sortWithinPartitions("route")
+    back = sent.mapInArrow(settle, schema).repartition("block").sortWithinPartitions("block")
+    return stored(back.mapInArrow(prefixes, "key long, v long, size int, pos int"), "postings")
 
 
 def linked_roots(bodies: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """For each set, the number of a set that it is linked with by a chain.
+    """For each set of hashes, the number of a set that it is linked with by a
+    chain.
 
-    Sets are keys in rare-first order.  From each set not reached yet its links
+    Keys are ordered rare first by their counts here.  From each set not reached yet its links
     are followed; a set that was reached is never a candidate again, so no pair
     is verified twice and pairs inside what is already linked not at all.
     """
     n = len(bodies)
     size = np.array([len(b) for b in bodies], np.int64)
     start = np.concatenate([[0], np.cumsum(size)])
-    flat = np.concatenate(bodies) if n else np.zeros(0, _U64)
+    owner = np.repeat(np.arange(n), size)
+    _, number, times = np.unique(np.concatenate(bodies) if n else np.zeros(0, _U64), return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    flat = rank[number]
+    flat = flat[np.lexsort((flat, owner))]
     want = prefix_size(size, num, den)
     doc = np.repeat(np.arange(n), want)
     pos = np.arange(want.sum()) - np.repeat(np.cumsum(want) - want, want)
-    _, key = np.unique(flat[start[doc] + pos], return_inverse=True)
+    key = flat[start[doc] + pos]
     first_of = np.concatenate([[0], np.cumsum(want)])
     # Suffix filter: between the same pivots two sets cannot share more keys
     # than the smaller of their numbers there.
-    pivots = np.quantile(flat.astype(np.float64), np.linspace(0, 1, 10)[1:-1]) if len(flat) else np.zeros(8)
-    part = np.searchsorted(pivots, flat.astype(np.float64))
-    spread = np.bincount(np.repeat(np.arange(n), size) * 9 + part, minlength=9 * n).reshape(n, 9)
+    part = flat * 9 // max(len(times), 1)
+    spread = np.bincount(owner * 9 + part, minlength=9 * n).reshape(n, 9)
 
     def lists(alive):
         use = np.flatnonzero(alive[doc])
         use = use[np.argsort(key[use], kind="stable")]
-        return doc[use], pos[use], np.searchsorted(key[use], np.arange(int(key.max()) + 2 if len(key) else 1))
+        return doc[use], pos[use], np.searchsorted(key[use], np.arange(len(times) + 1))
 
     root, alive, held = np.arange(n), np.ones(n, bool), n
     docs_at, pos_at, edge = lists(alive)
@@ -308,7 +318,7 @@ def linked_roots(bodies: list[np.ndarray], num: int, den: int) -> np.ndarray:
             y, need = y[ok], need[ok]
             if not len(y):
                 continue
-            own = np.sort(bodies[x])
+            own = flat[start[x] : start[x + 1]]
             at = np.arange(size[y].sum()) + np.repeat(start[y] - np.cumsum(size[y]) + size[y], size[y])
             near = np.searchsorted(own, flat[at])
             same = own[np.minimum(near, len(own) - 1)] == flat[at]
@@ -324,40 +334,19 @@ def linked_roots(bodies: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return root
 
 
-def _links(docs: DataFrame, groups: DataFrame, keeper: DataFrame, sent, n: int, num: int, den: int) -> DataFrame:
+def _links(docs: DataFrame, groups: DataFrame, keeper: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect what is linked inside each candidate group;
     `groups` has (v, comp, size)."""
-    spark = docs.sparkSession
     total = groups.groupBy("comp").agg(F.sum("size").alias("total"))
     parts = F.ceil(F.col("total") / (GROUP_KEYS // 2)).cast("int")
     wide = groups.join(total, "comp").withColumn("parts", F.when(F.col("total") <= GROUP_KEYS, 1).otherwise(parts))
-    asked = stored(wide.join(keeper, "v").select("v", "doc_id", "comp", "parts"), "asked")
-    # A bit map of fixed size tells which documents can be among those asked
-    # for; the join below makes it exact.  Bitmap functions count from 1.
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS)) + 1
-    maps = asked.select(slot(F.col("doc_id")).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
-    table = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
-    for r in maps.collect():  # at most 2**SLOT_BITS / 32768 rows of 4 KB
-        lo = (r.k - 1) * 4096
-        table[lo : lo + 4096] = np.frombuffer(bytes(r.m), np.uint8)
-    slots = spark.sparkContext.broadcast(table)
+    asked = stored(wide.join(keeper, "v").select("v", "id", "comp", "parts"), "asked")
+    bits = _slots_of(asked)
 
     def sets(batches):
-        bits, order, seen = slots.value, _Order(sent.value), set()
-        for batch in batches:
-            s = batch.column("slot").to_numpy() - 1
-            batch = batch.filter(pa.array((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1))
-            for i, j, data, offsets in block_views(batch.column("text")):
-                g, bounds = shingle_sets(data, offsets, n)
-                v, take = set_hash(g, bounds), []
-                for k, x in enumerate(v.tolist()):
-                    if x not in seen and bounds[k + 1] > bounds[k]:
-                        seen.add(x)
-                        take.append(k)
-                if take:
-                    key = order.keys(g, bounds)
-                    body = [key[bounds[k] : bounds[k + 1]].tobytes() for k in take]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(take)), pa.array(v[take]), pa.array(body, pa.binary())], names=["doc_id", "v", "body"])
+        for ids, v, g, bounds in _own_sets(batches, bits.value, n):
+            body = [g[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(v), pa.array(body, pa.binary())], names=["id", "v", "body"])
 
     def compare(batches):
         now, held = None, {}
@@ -380,7 +369,7 @@ def _links(docs: DataFrame, groups: DataFrame, keeper: DataFrame, sent, n: int,
         if held:
             yield links()
 
-    found = docs.withColumn("slot", slot(F.col("doc_id"))).mapInArrow(sets, "doc_id long, v long, body binary").join(asked, ["doc_id", "v"])
+    found = docs.mapInArrow(sets, "id long, v long, body binary").join(asked, ["id", "v"])
     # A group too large for one task is compared part against part, all pairs
     # of parts, so that every two of its sets meet.
     own = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
@@ -393,23 +382,20 @@ def _links(docs: DataFrame, groups: DataFrame, keeper: DataFrame, sent, n: int,
 
 def near_duplicate_groups(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(_profile(docs, n), "profile")
-    profile = rows.where("chunk is null").select("doc_id", "size", "v")
-    sent = spark.sparkContext.broadcast(_levels_of(rows.where("chunk is not null").select("chunk", "dense", "body")))
-    keeper = stored(profile.where("size > 0").groupBy("v").agg(F.min("doc_id").alias("doc_id")), "keeper")
-    total = profile.agg(F.sum(F.col("size") - F.ceil(F.col("size") * num / den) + 1)).first()[0] or 0
-    postings = _postings(docs, sent, n, num, den, max(1, round(total / BUCKET_KEYS)))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("slot", _slot("id"))
+    profile = stored(_profile(docs.select("id", "text"), n), "profile")
+    keeper = stored(profile.where("size > 0").groupBy("v").agg(F.min("id").alias("id"), F.max("size").alias("size")), "keeper")
+    total = keeper.agg(F.sum("size")).first()[0] or 0
+    postings = _postings(docs, _slots_of(keeper), n, num, den, max(1, round(total / BUCKET_KEYS)))
     # Sets that share a prefix key, by a chain, are a candidate group.
     hubs = stored(postings.groupBy("key").agg(F.min("v").alias("b")), "hubs")
     shared = postings.join(hubs, "key").select(F.col("v").alias("a"), "b").distinct()
-    groups = components(shared).withColumnRenamed("node", "v")
-    sizes = postings.groupBy("v").agg(F.max("size").alias("size"))
-    links = _links(docs, stored(groups.join(sizes, "v"), "groups"), keeper, sent, n, num, den)
-    labels = components(links)
-    vertex = keeper.join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    lowest = vertex.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    groups = components(shared).withColumnRenamed("node", "v").join(keeper.select("v", "size"), "v")
+    labels = components(_links(docs, stored(groups, "groups"), keeper.select("v", "id"), n, num, den))
+    vertex = keeper.select("v", "id").join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    lowest = vertex.groupBy("comp").agg(F.min("id").alias("component_id"))
     vertex = stored(vertex.join(lowest, "comp").select("v", "component_id"), "vertex")
     out = profile.join(vertex, "v", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("size").alias("n_shingles"), F.nullif(component, F.lit(NO_ID)).alias("component_id"))
