@@ -74,4 +74,4 @@ def pair_id(stem: Column) -> Column:
 
 def percent(num: Column, den: Column) -> Column:
     """Whole percent, halves to even; '-' without a denominator."""
-    return F.coalesce(F.format_string("%.0f%%", F.bround(F.try_divide(num * 100.0, den), 0)), F.lit("-"))
+    return F.when(den == 0, "-").otherwise(F.format_string("%.0f%%", F.bround(F.try_divide(num * 100.0, den), 0)))

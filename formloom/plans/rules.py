@@ -58,6 +58,11 @@ def _truth(n: Node) -> Column:
     return F.coalesce(n.value, F.lit(False))
 
 
+def _null(n: Node) -> Column:
+    """Null for want of a value, not for an error."""
+    return n.value.isNull() & ~n.error
+
+
 class Compiler:
     def __init__(self, scope: dict[str, tuple[Column, str]]):
         self.scope = scope
@@ -84,7 +89,7 @@ class Compiler:
 
     def on_List(self, node):
         items = [self(e) for e in node.elts]
-        value = F.array(*[i.value for i in items]) if items else F.array().cast("array<string>")
+        value = F.array(*[i.value for i in items])  # empty: array<void>, which takes any element type
         return Node(value, self._any([i.unknown for i in items]), "list", self._any([i.error for i in items]))
 
     on_Tuple = on_List
@@ -139,7 +144,7 @@ class Compiler:
         if type(node.op) not in ops:
             raise RuleError(f"rule uses disallowed operator: {type(node.op).__name__}")
         a, b = self(node.left), self(node.right)
-        unknown = a.unknown | b.unknown | a.value.isNull() | b.value.isNull()
+        unknown = a.unknown | b.unknown | _null(a) | _null(b)
         error = a.error | b.error
         if isinstance(node.op, ast.Div):
             error = error | (~unknown & (b.value == 0))
@@ -179,9 +184,9 @@ class Compiler:
                 inside = F.contains(b.value, a.value)
             else:
                 inside = F.exists(b.value, lambda x: x.eqNullSafe(a.value)) if b.kind == "list" else F.lit(False)
-            return (inside if isinstance(op, ast.In) else ~inside), b.value.isNull()
+            return (inside if isinstance(op, ast.In) else ~inside), _null(b)
         tests = {ast.Lt: lambda x, y: x < y, ast.LtE: lambda x, y: x <= y, ast.Gt: lambda x, y: x > y, ast.GtE: lambda x, y: x >= y}
-        return tests[type(op)](a.value, b.value), a.value.isNull() | b.value.isNull()
+        return tests[type(op)](a.value, b.value), _null(a) | _null(b)
 
 
 def kind_of(field_type: str) -> str:
