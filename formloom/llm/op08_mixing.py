@@ -2,11 +2,11 @@
 
 A naive Bayes classifier over hashed words, fitted on a bounded sample of a
 labelled table, gives each document posteriors over domains, so a document
-counts in part for several.  Document rates r >= 0 are then fitted by projected
+counts in part for several.  Document rates r >= 0 (and at most MAX_RATE) are then fitted by projected
 gradient descent on the squared distance between the expected domain token
 totals sum_i r_i t_i p_i and the targets.  A step moves each rate along its own
 gradient t_i p_i . m, the residual m being scaled by the Gram matrix of the
-documents with positive rates, and projects it to r >= 0.  A rate is a function
+documents whose rates are free, and projects it to 0 <= r <= MAX_RATE.  A rate is a function
 of (t, p) and the few step vectors, so iterations keep no state: each is one
 aggregation of D + D*D sums over all documents, and only step vectors (D
 numbers each) go back.
@@ -39,6 +39,8 @@ MAX_DOMAINS = 64
 #: A document's evidence counts as that of so many words at most.
 EVIDENCE = 8
 STEPS = 16
+#: Largest rate: no document stands more often than this in the mixture.
+MAX_RATE = 8.0
 #: Largest distance from a target, as a share of all tokens, at which steps end.
 CLOSE = 1e-5
 
@@ -100,7 +102,7 @@ def posteriors(domains: Domains, data: np.ndarray, offsets: np.ndarray) -> tuple
 def rates(t: np.ndarray, p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     r = np.ones(len(t))
     for m in steps:
-        r = np.maximum(0.0, r - t * (p @ m))
+        r = np.clip(r - t * (p @ m), 0.0, MAX_RATE)
     return r
 
 
@@ -117,7 +119,8 @@ def fit_steps(memberships: DataFrame, weights: np.ndarray) -> list[np.ndarray]:
                 p = p.flatten().to_numpy().reshape(-1, d)
                 r = rates(t, p, steps)
                 s += p.T @ (t * r)
-                a = p[r > 0] * t[r > 0][:, None]
+                free = (r > 0) & (r < MAX_RATE)
+                a = p[free] * t[free][:, None]
                 gram += a.T @ a
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + d * d)), pa.array(np.concatenate([s, gram.ravel()]))], names=["i", "x"])
 
