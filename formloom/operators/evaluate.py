@@ -37,13 +37,15 @@ def judged(gold: DataFrame, readings: DataFrame, keys: list[str], match: Column)
 
 
 def scorecard(rows: DataFrame, field: str = "field_name", value: str = "value", gold: str = "gold_value") -> DataFrame:
-    """The counters of each field and of all (field null), in one aggregation.
+    """The counters of each field and of all (field null).
     `rows` has found, ok, flagged, legible, value and gold."""
     ok, flagged = F.col("ok"), F.coalesce(F.col("flagged"), F.lit(False))
     invented = F.col(gold).isNull() & F.col(value).isNotNull() & F.coalesce(F.col("legible"), F.lit(False))
     tests = (F.lit(True), ok, flagged, ~flagged, ~flagged & ok, ~flagged & ~ok, F.col(gold).isNull(), invented, invented & ~flagged)
     sums = [F.count_if(t).alias(n) for n, t in zip(COUNTERS, tests)]
-    return rows.where("found").rollup(field).agg(*sums)
+    # By field first: the grand total is made of a few rows, not of every row twice.
+    by_field = rows.where("found").groupBy(field).agg(*sums)
+    return by_field.rollup(field).agg(*[F.sum(n).alias(n) for n in COUNTERS])
 
 
 def ratios(scores: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ def render_markdown(scores: DataFrame, set_name: str, missing_pages: list[str] =
     rows = sorted(scores.select(field, "n", *cells).collect(), key=lambda r: (r[0] is None, r[0]))
     out = [f"# Eval report -- **{set_name} set**", ""]
     if set_name == "flow":
-        out += ["> Flow set proves plumbing. These numbers are NOT a performance", "> claim (PRD 12.1); sign-off metrics come from the held-out set.", ""]
+        out += ["> The flow set shows that the parts work together. It is no measure of accuracy; the held-out set is.", ""]
     out += ["| field | n | exact acc | auto-acc acc | flag rate | FN flag rate | halluc | halluc esc. |", "|---|--:|--:|--:|--:|--:|--:|--:|"]
     out += ["| " + " | ".join(["**overall**" if r[0] is None else r[0], *map(str, r[1:])]) + " |" for r in rows]
     if missing_pages:
