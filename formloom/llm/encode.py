@@ -6,7 +6,8 @@ parts are encoded once and looked up afterwards.  Places, with "solid" for a
 byte that cannot belong to white space:
 
 * before a space that a solid byte follows;
-* before and after a newline between two solid bytes.
+* before and after a newline between two solid bytes;
+* before one of .,;:!? between a letter and such a place (or the text's end).
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .common import ASCII_SPACE, BLOCK_BYTES, blocks, text_view
+from .common import ASCII_SPACE, BLOCK_BYTES, blocks, byte_class, text_view
 
 #: Lead bytes of the non-ASCII white space characters.
 _DOUBT = np.zeros(256, bool)
 _DOUBT[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = byte_class(bytes([*range(65, 91), *range(97, 123)]))
+_STOP = byte_class(b".,;:!?")
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -38,6 +41,14 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             line = line[solid]
             cut[line] = True
             cut[line + 1] = True
+        ends = np.append(cut[1:], True)
+        ends[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
+        stop = np.flatnonzero(ends[2:] & _STOP[data[2:]]) + 2
+        if len(stop):
+            a, b = data[stop - 1], data[stop - 2]
+            letter = _LETTER[a] | ((b == 0xC3) & (a >= 0x80) & (a != 0x97) & (a != 0xB7))  # of Latin-1 too, but for its signs
+            stop = stop[letter & ~cut[stop]]
+            cut[stop] = True
     return np.flatnonzero(cut)
 
 
@@ -52,7 +63,7 @@ class Encoder:
     #: A part of its own between others that are encoded in one call.
     BETWEEN = b" \x00"
 
-    def __init__(self, tokenizer_path: str, max_parts: int = 600_000):
+    def __init__(self, tokenizer_path: str, max_parts: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -126,7 +137,7 @@ class Encoder:
         edges = np.append(starts, len(data)).astype(np.int32)
         parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
         coded = parts.dictionary_encode()
-        unique = coded.dictionary.to_pylist()
+        unique = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist()
         if len(self.known) > self.max_parts:
             self._shrink()
         known = self.known
