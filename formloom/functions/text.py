@@ -12,6 +12,12 @@ from pyspark.sql.types import StringType
 SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
+def held(struct: Column) -> Column:
+    """The struct as a value of its own: the optimizer takes plain structs apart
+    and writes their parts out wherever a field is used, many times over."""
+    return F.element_at(F.array(struct), 1)
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(c, SPACE, "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import score
 from ..functions.coerce import coerce, json_text
 from ..functions.jsonrepair import envelope, is_object, parsed
-from ..functions.text import quoted
+from ..functions.text import held, quoted
 from ..schema import FieldDef, Schema
 
 
@@ -36,9 +36,9 @@ def read_field(rows: DataFrame, fd: FieldDef, threshold: float) -> DataFrame:
     coerced value as its type."""
     bad = F.col("env").isNull()
     e = envelope(F.col("env"))
-    rows = rows.withColumn("e", e).withColumn("c", coerce(F.col("e.value"), fd))
+    rows = rows.withColumn("e", held(e)).withColumn("c", held(coerce(F.col("e.value"), fd)))
     o = score.outcome(F.col("c.value"), F.col("c.error"), F.col("e.legible"), F.col("e.confidence"), F.col("e.raw_transcription"), fd, threshold)
-    rows = rows.withColumn("o", o)
+    rows = rows.withColumn("o", held(o))
     keep = lambda c: F.when(~bad, c)
     errors = F.when(bad, F.array(F.lit(score.UNPARSED_ERROR))).otherwise(F.array_compact(F.array("c.error")))
     return rows.select(

@@ -16,7 +16,7 @@ from .functions import coerce as co
 from .functions import score
 from .functions.compare import numbers_match
 from .functions.jsonrepair import envelope, is_object, parsed
-from .functions.text import ascii_only, comparison_form, covers, first_word, pair_id, percent, token_set
+from .functions.text import ascii_only, comparison_form, first_word, held, pair_id, percent, token_set
 from .operators import evaluate, finalize, invariants, store
 from .operators.latest import newest
 from .plans.rules import failed_rules
@@ -429,7 +429,7 @@ def _coerced(spark, d, fd: FieldDef, kinds: list[int] | None = None, projection:
     rows = load(spark, d, projection)
     if kinds is not None:
         rows = rows.where(F.expr(f"event_id % 12 IN ({', '.join(map(str, kinds))})"))
-    return rows.withColumn("c", co.coerce(F.try_parse_json("raw"), fd)).select("event_id", F.col("c.value").alias("value"), F.col("c.error").alias("error"))
+    return rows.withColumn("v", F.try_parse_json("raw")).withColumn("c", held(co.coerce(F.col("v"), fd))).select("event_id", F.col("c.value").alias("value"), F.col("c.error").alias("error"))
 
 
 _AGE = FieldDef("age", "integer", min=0.0, max=120.0)
