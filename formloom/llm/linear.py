@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ASCII_SPACE, LOWER, NOT_WORD, block_views, byte_class, mix, ngrams, span_hashes, words
+from .common import ASCII_SPACE, LOWER, NOT_WORD, block_views, byte_class, lean, mix, ngrams, span_hashes, words
 
 _U64 = np.uint64
 #: (bytes, offsets[, mask of features to keep]) -> (document of each feature,
@@ -42,9 +42,14 @@ def of_documents(bounds: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- features
 
+#: Bytes of a word's stems.
+STEMS = (4, 5, 6)
+
+
 def skip_gram_features(bits: int) -> Features:
-    """Words (letters, digits, non-ASCII; lower case), pairs of neighbours, and
-    pairs with one word between."""
+    """Words (letters, digits, non-ASCII; lower case), pairs of neighbours, pairs
+    with one word between, and stems: the first STEMS bytes of longer words, so
+    that inflected forms share a coordinate."""
 
     def features(data, offsets, wanted=None):
         low = LOWER[data]
@@ -56,7 +61,12 @@ def skip_gram_features(bits: int) -> Features:
         b3 = np.concatenate([[0], np.cumsum(counts)])
         at = np.arange(int(b3[-1])) + np.repeat(bounds[:-1] - b3[:-1], counts)
         gap = mix(h[at] * _U64(0x2545F4914F6CDD1D) + mix(h[at + 2] + _U64(77)))
-        return once(np.concatenate([doc, of_documents(b2), of_documents(b3)]), np.concatenate([h, two, gap]), bits, wanted)
+        docs, feats = [doc, of_documents(b2), of_documents(b3)], [h, two, gap]
+        for k in STEMS:
+            longer = np.flatnonzero(e - s > k)
+            docs.append(doc[longer])
+            feats.append(mix(span_hashes(low, s[longer], s[longer] + k) + _U64(9000 + k)))
+        return once(np.concatenate(docs), np.concatenate(feats), bits, wanted)
 
     return features
 
@@ -159,13 +169,19 @@ def sample_matrix(rows: DataFrame, features: Features) -> tuple[np.ndarray, np.n
                     names=["_id", "y", "f"],
                 )
 
-    got = rows.mapInArrow(run, "_id long, y int, f array<int>").toArrow()
-    got = got.sort_by("_id").combine_chunks()
-    if got.num_rows == 0:
-        return np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0)
-    f = got.column("f").combine_chunks()
-    sizes = f.value_lengths().to_numpy()
-    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), f.flatten().to_numpy(), got.column("y").to_numpy().astype(float)
+    got = rows.mapInArrow(lean(run), "_id long, y int, f array<int>").toArrow()
+    order = np.argsort(got.column("_id").to_numpy(), kind="stable")
+    sizes = np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy() for c in got.column("f").chunks)])
+    bounds = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = bounds[:-1]
+    feat, row = np.empty(int(bounds[-1]), np.int32), 0
+    for chunk in got.column("f").chunks:  # row by row: no second copy of all at once
+        values, at = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        for k in range(len(chunk)):
+            feat[place[row] : place[row] + at[k + 1] - at[k]] = values[at[k] : at[k + 1]]
+            row += 1
+    return bounds, feat, got.column("y").to_numpy()[order].astype(float)
 
 
 # ---------------------------------------------------------------- models
@@ -239,10 +255,12 @@ def nbsvm_margins(model: np.ndarray, doc, feat, n: int) -> np.ndarray:
     return dot / np.maximum(norm, 1e-12) + bias
 
 
-def fit_ftrl(bounds, feat, y, bits: int, alpha=1.0, beta=1.0, l1=8.0, l2=1.0, rounds: int = 6, seed: int = 11) -> np.ndarray:
+def fit_ftrl(bounds, feat, y, bits: int, alpha=2.0, beta=1.0, l1=None, l2=1.0, rounds: int = 20, seed: int = 11) -> np.ndarray:
     """FTRL-proximal logistic regression over indicator rows; weights, then the
-    bias.  Each coordinate has its own rate; l1 leaves most weights at zero."""
+    bias.  Each coordinate has its own rate; l1 (by default a sixteenth of the
+    rows, 20 at most) leaves most weights at zero."""
     size, n = 1 << bits, len(y)
+    l1 = min(20.0, n / 16) if l1 is None else l1
     z, acc = np.zeros(size + 1), np.zeros(size + 1)
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
@@ -280,4 +298,4 @@ def scored(docs: DataFrame, features: Features, margins, model: np.ndarray, want
                 out[i:j] = sigmoid(slope * margins(weights, doc, feat, j - i) + shift)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), pa.array(out)], names=[*fields, score])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(score, DoubleType())]))

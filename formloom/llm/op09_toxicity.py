@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed n-grams.
 
-Words, neighbouring pairs and pairs with one word between are hashed to 2**bits
-coordinates.  The model is fitted online, with a rate for each coordinate and
+Words, their stems, neighbouring pairs and pairs with one word between are
+hashed to 2**bits coordinates.  The model is fitted online, with a rate for each coordinate and
 an L1 term that leaves most weights at zero, on a bounded labelled sample.  The
 sparse weights are broadcast; every document is scored in one pass without a
 shuffle.
@@ -20,7 +20,7 @@ from .linear import fit_ftrl, ftrl_margins, held_out, sample_matrix, scored, ski
 
 BITS = 18
 #: Labelled rows that the model is fitted on, at most.
-MAX_ROWS = 16000
+MAX_ROWS = 10000
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, bits: int = BITS):
