@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import lean, scratch
 from .encode import encoded_blocks, encoder
 
 SCHEMA = "part int, row long, doc_id long, part_start long, n_tokens long, ids array<int>"
@@ -54,7 +54,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 row, start = row + n, start + int(bounds[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), SCHEMA)
 
 
 def write_token_orc(

@@ -38,19 +38,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, LOWER, block_views, mix, ngrams, span_hashes, stored, words
+from .common import ASCII_SPACE, LOWER, block_views, lean, mix, ngrams, span_hashes, stored, words
 from .components import components
 
 _U64 = np.uint64
 #: Shingles in one bucket and in one block of step 2, about.
 BUCKET_KEYS = 1_000_000
-BLOCK_KEYS = 1_500_000
+BLOCK_KEYS = 1_000_000
 #: Bits of a shingle's hash that are sent, besides those that choose the bucket.
 SENT_BYTES = 5
 #: log2 of the slots in the map of documents that a pass looks at.
 SLOT_BITS = 25
 #: Keys of all sets of a candidate group that one task compares, at most.
-GROUP_KEYS = 4_000_000
+GROUP_KEYS = 2_000_000
 #: Stands for a null doc_id inside.
 NO_ID = (1 << 63) - 1
 
@@ -101,7 +101,7 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                 g, bounds = shingle_sets(data, offsets, n)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(np.diff(bounds)), pa.array(set_hash(g, bounds))], names=["id", "size", "v"])
 
-    return docs.mapInArrow(run, "id long, size long, v long")
+    return docs.mapInArrow(lean(run), "id long, size long, v long")
 
 
 def _slot(c):
@@ -256,9 +256,9 @@ def _postings(docs: DataFrame, bits, n: int, num: int, den: int, n_buckets: int)
             yield from done()
 
     schema = "route int, block long, doc binary, key binary, level binary"
-    sent = docs.mapInArrow(send, schema).repartition("route").sortWithinPartitions("route")
-    back = sent.mapInArrow(settle, schema).repartition("block").sortWithinPartitions("block")
-    return stored(back.mapInArrow(prefixes, "key long, v long, size int, pos int"), "postings")
+    sent = docs.mapInArrow(lean(send), schema).repartition("route").sortWithinPartitions("route")
+    back = sent.mapInArrow(lean(settle), schema).repartition("block").sortWithinPartitions("block")
+    return stored(back.mapInArrow(lean(prefixes), "key long, v long, size int, pos int"), "postings")
 
 
 def linked_roots(bodies: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -369,7 +369,7 @@ def _links(docs: DataFrame, groups: DataFrame, keeper: DataFrame, n: int, num: i
         if held:
             yield links()
 
-    found = docs.mapInArrow(sets, "id long, v long, body binary").join(asked, ["id", "v"])
+    found = docs.mapInArrow(lean(sets), "id long, v long, body binary").join(asked, ["id", "v"])
     # A group too large for one task is compared part against part, all pairs
     # of parts, so that every two of its sets meet.
     own = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
@@ -377,7 +377,7 @@ def _links(docs: DataFrame, groups: DataFrame, keeper: DataFrame, n: int, num: i
     dealt = found.select("comp", "v", "body", own.alias("own"), other)
     dealt = dealt.select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "v", "body")
     dealt = dealt.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
-    return stored(dealt.mapInArrow(compare, "a long, b long"), "links")
+    return stored(dealt.mapInArrow(lean(compare), "a long, b long"), "links")
 
 
 def near_duplicate_groups(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:

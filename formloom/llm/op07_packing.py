@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 from .encode import encoded_blocks, encoder
 
 CAPACITY = 2048
@@ -176,7 +176,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int =
                 )
                 row += len(doc)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), PIECES)
 
 
 _STATE = "shard long, island int, uids array<long>, sizes array<int>, pool array<array<int>>, bins int, fitness double"
@@ -200,7 +200,7 @@ def _evolved(state: DataFrame, capacity: int, seed: int) -> DataFrame:
                     names=["shard", "island", "uids", "sizes", "pool", "bins", "fitness"],
                 )
 
-    return state.mapInArrow(run, _STATE)
+    return state.mapInArrow(lean(run), _STATE)
 
 
 def _level(rest: DataFrame, shards: int, capacity: int, level: int) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import ASCII_SPACE, LOWER, NOT_WORD, block_views, free_name, span_hashes, stored, words
+from .common import ASCII_SPACE, LOWER, NOT_WORD, block_views, free_name, lean, span_hashes, stored, words
 
 BITS = 16
 #: Labelled rows that the classifier is fitted on, at most.
@@ -170,7 +170,7 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float])
                 d = p.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.ListArray.from_arrays(pa.array(np.arange(0, len(p) * d + 1, d, dtype=np.int32)), pa.array(p.ravel()))], names=["t", "p"])
 
-    memberships = stored(docs.select("text").mapInArrow(run, "t long, p array<double>"), "memberships")
+    memberships = stored(docs.select("text").mapInArrow(lean(run), "t long, p array<double>"), "memberships")
     return domains, fit_steps(memberships, target_weights(domains, targets))
 
 
@@ -197,7 +197,7 @@ def mixed(docs: DataFrame, domains: Domains, steps: list[np.ndarray]) -> DataFra
                 )
 
     schema = StructType([*docs.schema.fields, StructField(names[0], LongType()), StructField(names[1], ArrayType(DoubleType())), StructField(names[2], DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def copies(rate, key, seed: int = 8):

@@ -118,4 +118,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it expresses; the others are tested against
+    brute force, round trips and held-out rows."""
+    from .oracles import OP3, OP4, license_scan_sql
+
+    return {"op2_license_scan": license_scan_sql(), "op3_jaccard_join": OP3, "op4_chat_tree": OP4}
