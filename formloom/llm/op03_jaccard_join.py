@@ -121,8 +121,8 @@ def _slots_of(ids: DataFrame):
 
 
 def _own_sets(batches, bits: np.ndarray, n: int):
-    """(ids, v, g, bounds) of the sets that this task meets first, of rows whose
-    slot is marked in the bit map."""
+    """(v, g, bounds) of the sets that this task meets first, of rows whose slot
+    is marked in the bit map."""
     seen: set[int] = set()
     for batch in batches:
         s = batch.column("slot").to_numpy() - 1
@@ -136,7 +136,7 @@ def _own_sets(batches, bits: np.ndarray, n: int):
                     seen.add(x)
                     fresh[k] = True
             keep = np.repeat(fresh, size)
-            yield batch.column("id").to_numpy()[i:j][fresh], v[fresh], g[keep], np.concatenate([[0], np.cumsum(size[fresh])])
+            yield v[fresh], g[keep], np.concatenate([[0], np.cumsum(size[fresh])])
 
 
 _POSTING = pa.schema([("key", pa.int64()), ("v", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
@@ -169,7 +169,7 @@ def _postings(docs: DataFrame, bits, n: int, num: int, den: int, n_buckets: int)
             own = [pa.array([n_buckets + block % n_buckets], pa.int32()), pa.array([block]), pa.array([v.tobytes()], pa.binary()), pa.array([size.astype(np.int64).tobytes()], pa.binary()), pa.nulls(1, pa.binary())]
             yield pa.RecordBatch.from_arrays(own, schema=_SENT)
 
-        for _, v, g, bounds in _own_sets(batches, bits.value, n):
+        for v, g, bounds in _own_sets(batches, bits.value, n):
             held.append((v, g, np.diff(bounds)))
             count += len(g)
             if count >= BLOCK_KEYS:
@@ -344,9 +344,9 @@ def _links(docs: DataFrame, groups: DataFrame, keeper: DataFrame, n: int, num: i
     bits = _slots_of(asked)
 
     def sets(batches):
-        for ids, v, g, bounds in _own_sets(batches, bits.value, n):
+        for v, g, bounds in _own_sets(batches, bits.value, n):
             body = [g[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(v), pa.array(body, pa.binary())], names=["id", "v", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(body, pa.binary())], names=["v", "body"])
 
     def compare(batches):
         now, held = None, {}
@@ -369,7 +369,9 @@ def _links(docs: DataFrame, groups: DataFrame, keeper: DataFrame, n: int, num: i
         if held:
             yield links()
 
-    found = docs.mapInArrow(lean(sets), "id long, v long, body binary").join(asked, ["id", "v"])
+    # By v alone: the row that a task meets first may be a copy whose slot
+    # another id marks.  The same set from several tasks is held once.
+    found = docs.mapInArrow(lean(sets), "v long, body binary").join(asked.drop("id"), "v")
     # A group too large for one task is compared part against part, all pairs
     # of parts, so that every two of its sets meet.
     own = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")

@@ -159,6 +159,21 @@ def test_op3_drifting_copies(spark, drift, monkeypatch):
     assert read_groups(near.near_duplicate_groups(df)) == want
 
 
+def test_op3_copy_before_keeper(spark):
+    """A copy that is read before its set's keeper, in the slot of another id."""
+    first, pairs = {}, []
+    for i, slot in spark.range(1, 40_000).select("id", near._slot("id")).collect():
+        if first.setdefault(slot, i) != i:
+            pairs.append((first[slot], i))
+    assert pairs
+    rows = []
+    for k, (a, c) in enumerate(sorted(pairs)):
+        text = [f"t{k}_{i}" for i in range(100)]
+        rows += [(c, " ".join(text)), (-k, " ".join(text)), (a, " ".join(text[:98]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert read_groups(near.near_duplicate_groups(df)) == brute_groups(rows)
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(int(a), int(b)) for a, b in rng.integers(5000, 5200, (90, 2))] + [(7, 7)]
