@@ -148,8 +148,9 @@ def _postings(docs: DataFrame, bits, n: int, num: int, den: int, n_buckets: int)
     low_bits = _U64((1 << 8 * SENT_BYTES) - 1)
 
     def send(batches):
-        """Rows of a block and bucket: doc has how many keys each document has
-        there, key their hashes.  The block's own row has v and sizes."""
+        """Rows of a block and bucket: doc has pairs of a document and how many
+        keys it has there, key their hashes.  The block's own row has v and
+        sizes."""
         held, count, block = [], 0, TaskContext.get().partitionId() << 24
 
         def flush():
@@ -157,12 +158,15 @@ def _postings(docs: DataFrame, bits, n: int, num: int, den: int, n_buckets: int)
             doc, h = np.repeat(np.arange(len(v)), size), mix(g)
             bucket, rest = (h % _U64(n_buckets)).astype(np.int64), (h // _U64(n_buckets)) & low_bits
             order = np.argsort(bucket, kind="stable")
-            doc, rest = doc[order], rest[order]
-            edge = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            bucket, doc, rest = bucket[order], doc[order], rest[order]
+            edge = np.searchsorted(bucket, np.arange(n_buckets + 1))
+            run = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])]))
+            pairs = np.column_stack([doc[run], np.diff(np.append(run, len(doc)))]).astype(np.uint32)
+            first = np.searchsorted(run, edge)
             full = np.flatnonzero(np.diff(edge))
             for at in range(0, len(full), 256):
                 part = full[at : at + 256]
-                docs_of = [np.bincount(doc[edge[b] : edge[b + 1]], minlength=len(v)).astype(np.uint16).tobytes() for b in part]
+                docs_of = [pairs[first[b] : first[b + 1]].tobytes() for b in part]
                 keys = [np.ascontiguousarray(rest[edge[b] : edge[b + 1]].view(np.uint8).reshape(-1, 8)[:, :SENT_BYTES]).tobytes() for b in part]
                 m = len(part)
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(m, block)), pa.array(docs_of, pa.binary()), pa.array(keys, pa.binary()), pa.nulls(m, pa.binary())], schema=_SENT)
@@ -186,11 +190,11 @@ def _postings(docs: DataFrame, bits, n: int, num: int, den: int, n_buckets: int)
         def done():
             keys, docs_of, source = [], [], []
             for k, (_, doc, key) in enumerate(rows):
-                times = np.frombuffer(doc, np.uint16)
+                number, times = np.frombuffer(doc, np.uint32).reshape(-1, 2).T
                 raw = np.zeros((len(key) // SENT_BYTES, 8), np.uint8)
                 raw[:, :SENT_BYTES] = np.frombuffer(key, np.uint8).reshape(-1, SENT_BYTES)
                 keys.append(raw.view(_U64).ravel())
-                docs_of.append(np.repeat(np.arange(len(times), dtype=np.int32), times))
+                docs_of.append(np.repeat(number.astype(np.int32), times))
                 source.append(np.full(len(raw), k, np.int32))
             key, doc, source = map(np.concatenate, (keys, docs_of, source))
             order = np.argsort(key, kind="stable")

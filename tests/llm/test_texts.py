@@ -174,6 +174,14 @@ def test_op3_copy_before_keeper(spark):
     assert read_groups(near.near_duplicate_groups(df)) == brute_groups(rows)
 
 
+def test_op3_very_long_text(spark):
+    """More keys of one text in one bucket than 16 bits count."""
+    text = [f"w{i}" for i in range(100_000)]
+    rows = [(3, " ".join(text)), (2, " ".join(text[:99_000])), (1, " ".join(text[:50_000])), (0, "a short text of seven words only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert read_groups(near.near_duplicate_groups(df)) == brute_groups(rows)
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(int(a), int(b)) for a, b in rng.integers(5000, 5200, (90, 2))] + [(7, 7)]
