@@ -4,7 +4,8 @@ Texts become lower-case words (letters, digits, non-ASCII characters) joined by
 single spaces, so punctuation and line breaks do not matter.  A rule has a
 keyword, a regex over such text, a label, a priority (its place in RULES, lower
 is stronger) and a confidence.  Only rules whose keyword is one of the text's
-words are tried, and only texts with a keyword at all.  Detections are
+words are tried, and only texts with a keyword at all; a regex is there once for
+each of the words of which every match has one.  Detections are
 character intervals; one is suppressed by another that
 
 * contains it and is longer, or
@@ -64,8 +65,10 @@ def _gnu_rules() -> list[Rule]:
             later = r"(?: of the licen[sc]e)? or(?: at your option)? (?:any )?(?:later|newer)(?: version)?"
             forms = ((rf"{long}{at}", "license", 0.95), (rf"(?:gnu )?{short}(?: (?:version|v))? ?v?{number}", short, 0.85), (_spdx(rf"{short} {number}"), "spdx", 1.0))
             for regex, keyword, sure in forms:
-                keywords = ("license", "licence") if keyword == "license" else (keyword,)
-                for k in keywords:
+                words = ("license", "licence") if keyword == "license" else (keyword,)
+                # The version may be written to the word, as in gplv3.
+                joined = () if keyword == "spdx" else tuple(f"{w}{x}{number[0]}" for w in words for x in ("v", ""))
+                for k in (*words, *joined):
                     out.append(Rule(k, rf"{regex}(?:{later}| or later)", f"{short}-{dotted}-or-later", sure))
                     out.append(Rule(k, rf"{regex}(?: only)?", f"{short}-{dotted}", sure))
         for k in ("license", "licence"):
@@ -155,6 +158,9 @@ def _clause_rules() -> list[Rule]:
             Rule(k, r"do what the f\w* you want to public licen[sc]e", "wtfpl", 0.95),
         ]
     out += [
+        Rule("licenced", r"licen[sc]ed under(?: the)? (?:mit|expat)", "mit", 0.9),
+        Rule("unlicense", r"(?:the )?(?:unlicense|unlicence)", "unlicense", 0.95),
+        Rule("unlicence", r"(?:the )?(?:unlicense|unlicence)", "unlicense", 0.95),
         Rule("spdx", _spdx("mit"), "mit", 1.0),
         Rule("spdx", _spdx("isc"), "isc", 1.0),
         Rule("spdx", _spdx("zlib"), "zlib", 1.0),
@@ -162,7 +168,7 @@ def _clause_rules() -> list[Rule]:
         Rule("wtfpl", r"wtfpl", "wtfpl", 0.9),
         Rule("granted", r"permission is hereby granted free of charge to any person obtaining a copy", "mit", 0.9),
         Rule("redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", "bsd", 0.9),
-        Rule("granted", r"permission to use copy modify and or distribute this software for any purpose", "isc", 0.9),
+        Rule("permission", r"permission to use copy modify and or distribute this software for any purpose", "isc", 0.9),
     ]
     return out
 
@@ -176,7 +182,7 @@ def _notice_rules() -> list[Rule]:
         Rule("proprietary", r"proprietary and confidential", "proprietary", 0.8),
         Rule("permission", r"(?:used|reprinted|reproduced) (?:with|by) permission", "by-permission", 0.6),
         Rule("copyright", r"copyright(?: c)? (?:19|20)\d\d", "copyright", 0.4),
-        Rule("commercial", r"(?:for )?non ?commercial use only", "non-commercial", 0.6),
+        *(Rule(k, r"(?:for )?non ?commercial use only", "non-commercial", 0.6) for k in ("commercial", "noncommercial")),
         Rule("educational", r"for educational (?:use|purposes) only", "educational-use", 0.5),
     ]
 

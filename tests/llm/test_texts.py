@@ -80,6 +80,52 @@ def test_op2_edges(edge, empty):
     assert sorted((r.doc_id or -1, r.n_words) for r in got) == want
 
 
+JOINED = [
+    "licensed under GPLv3", "GPLv2+ code", "the gpl3 or later", "LGPLv3 only", "lgplv2.1", "AGPLv3", "agpl1", "GNU General Public License3", "GNU Lesser General Public Licencev2.1 or later",
+    "noncommercial use only", "for non-commercial use only", "licenced under the MIT", "licenced under the MIT 0 License", "The Unlicense", "the unlicence", "gpl v3 and GPLv2",
+]
+
+
+def matches_of(tree):
+    """Every text that a parsed regex matches, words of any length and digits
+    once."""
+    texts = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            more = [chr(a) for o, a in arg if str(o) == "LITERAL"] or ["1"]
+        elif op == "MAX_REPEAT":
+            more = ["", *matches_of(arg[2])] if arg[0] == 0 else matches_of(arg[2])
+        elif op == "SUBPATTERN":
+            more = matches_of(arg[3])
+        else:
+            assert op == "BRANCH", op
+            more = [x for part in arg[1] for x in matches_of(part)]
+        texts = [a + b for a in texts for b in more]
+    return texts
+
+
+def test_op2_every_match_has_a_keyword():
+    keys = {}
+    for r in lic.RULES:
+        keys.setdefault((r.regex, r.label, r.confidence), set()).add(r.keyword)
+    for (regex, *_), words in keys.items():
+        missed = [x for x in matches_of(re._parser.parse(regex)) if words.isdisjoint(x.split(" "))]
+        assert not missed, (regex, missed[:3])
+
+
+def test_op2_gate_leaves_nothing_out(spark):
+    texts = JOINED + [x or "" for x in LICENSED]
+    df = spark.createDataFrame([(i, x + " anyword") for i, x in enumerate(texts)], "doc_id long, text string")
+    read = lambda d: {r.doc_id: (r.labels, r.score, [tuple(x) for x in r.spans or ()]) for r in d.select("doc_id", "labels", "score", "spans").collect()}
+    got = read(lic.scan_licenses(df))
+    ungated = tuple({r[1:]: r._replace(keyword="anyword") for r in lic.RULES}.values())
+    assert got == read(lic.scan_licenses(df, ungated))
+    assert [got[i][0] for i in (0, 1, 2, 4, 9, 11)] == ["gpl-3.0", "gpl-2.0", "gpl-3.0-or-later", "lgpl-2.1", "non-commercial", "mit"]
+
+
 # ---------------------------------------------------------------- near duplicates
 
 def sets_of(rows):
