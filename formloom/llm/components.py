@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -22,14 +22,17 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = stored(labels, "labels")
     for k in range(max_rounds):
         if links.isEmpty():
+            discard(links)
             return labels
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("r"), F.col(c).alias("id"))
         first = both.groupBy(F.col("a").alias("old")).agg(F.min(F.least(rank("a"), rank("b"))).alias("m"))
         first = stored(first.select("old", F.col("m.id").alias("new")), "first")
         a, b = first.select(F.col("old").alias("a"), F.col("new").alias("na")), first.select(F.col("old").alias("b"), F.col("new").alias("nb"))
-        links = links.join(a, "a").join(b, "b").where("na <> nb")
-        links = stored(links.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct(), "links")
-        labels = labels.join(first.withColumnRenamed("old", "comp"), "comp", "left")
-        labels = stored(labels.select("node", F.coalesce("new", "comp").alias("comp")), "labels")
+        left = links.join(a, "a").join(b, "b").where("na <> nb")
+        left = stored(left.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct(), "links")
+        named = labels.join(first.withColumnRenamed("old", "comp"), "comp", "left")
+        named = stored(named.select("node", F.coalesce("new", "comp").alias("comp")), "labels")
+        discard(links, labels, first)
+        links, labels = left, named
     raise RuntimeError(f"links are left after {max_rounds} rounds")

@@ -1,9 +1,9 @@
 """N-gram Jaccard join: near duplicates by shared word shingles.
 
 A document's set holds its distinct `n`-word shingles as 64-bit hashes.  Equal
-sets are one vertex, kept once.
+sets (by two independent 64-bit hashes, v and w) are one vertex, kept once.
 
-1. One pass makes each document's set size and set hash.
+1. One pass makes each document's set size and set hashes.
 2. One pass sends every shingle of every kept set, packed to a few bytes, to
    buckets, which count in how many sets each stands.  Only shared shingles
    come back to the block of documents they are from.  There each set is
@@ -16,18 +16,23 @@ sets are one vertex, kept once.
    candidates, which length, positional and suffix filters thin out; those left
    are verified once by exact intersection: linked when denominator * inter >=
    numerator * union.  Links are followed outward, so pairs inside what is
-   already linked need no check.  A group with more than GROUP_KEYS keys is
-   compared part against part in several tasks.
-4. The links, at most one for each set and part, are contracted to components.
-
-Blocks, buckets and group parts have a bounded size; nothing gathers the sets of
-one shingle, and no pairs are written.
+   already linked need no check.
+4. A group with more than GROUP_KEYS keys is dealt in rounds: each set goes to
+   one unit, that of its smallest prefix key in an order hashed anew for the
+   round (salted where the unit is too large), so a round sends each set once.
+   After a round, keys whose sets are all connected already are done with; what
+   falls apart into smaller groups is compared as these.  Keys that join unlike
+   components after ROUNDS rounds are compared key by key.
+5. The links, at most one for each set and unit, are contracted to components.
+
+Blocks, buckets and units have a bounded size; nothing gathers the sets of one
+shingle, and no pairs are written.
 
 Defined cases: null text, no words: empty set, linked with nothing, its own
 component; fewer than `n` words: the sequence is the one shingle; repeated rows
 are one vertex; rows that share a doc_id with other text are judged each by its
 own text; a null doc_id takes part and counts as largest; other columns are
-ignored; an empty table gives no rows.
+ignored; an empty table gives no rows; a text of any length is one set.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, LOWER, block_views, lean, mix, ngrams, span_hashes, stored, words
+from .common import ASCII_SPACE, LOWER, block_views, discard, lean, mix, ngrams, span_hashes, stored, words
 from .components import components
 
 _U64 = np.uint64
@@ -47,10 +52,13 @@ BUCKET_KEYS = 1_000_000
 BLOCK_KEYS = 1_000_000
 #: Bits of a shingle's hash that are sent, besides those that choose the bucket.
 SENT_BYTES = 5
-#: log2 of the slots in the map of documents that a pass looks at.
-SLOT_BITS = 25
-#: Keys of all sets of a candidate group that one task compares, at most.
+#: log2 of the slots in the map of documents that a pass looks at, at most
+#: (32 MB); where it would be more than half full, ids are joined instead.
+SLOT_BITS = 28
+#: Keys of all sets that one task compares, at most.
 GROUP_KEYS = 2_000_000
+#: Rounds in which the sets of larger groups are dealt once each.
+ROUNDS = 4
 #: Stands for a null doc_id inside.
 NO_ID = (1 << 63) - 1
 
@@ -81,10 +89,15 @@ def shingle_sets(data, offsets, n: int):
 
 
 def set_hash(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each set."""
-    run = np.zeros(len(g) + 1, _U64)
-    np.cumsum(mix(g ^ _U64(0x5DEECE66D)), out=run[1:])
-    return mix(run[bounds[1:]] - run[bounds[:-1]] + np.diff(bounds).astype(_U64)).view(np.int64)
+    """Two 64-bit hashes (v, w) of each set."""
+    size = np.diff(bounds).astype(_U64)
+
+    def one(salt: int) -> np.ndarray:
+        run = np.zeros(len(g) + 1, _U64)
+        np.cumsum(mix(g ^ _U64(salt)), out=run[1:])
+        return mix(run[bounds[1:]] - run[bounds[:-1]] + size)
+
+    return np.column_stack([one(0x5DEECE66D), one(0x2545F4914F6CDD1D)]).view(np.int64)
 
 
 def prefix_size(size, num: int, den: int):
@@ -93,69 +106,84 @@ def prefix_size(size, num: int, den: int):
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """Step 1: (id, size, v) of each document."""
+    """Step 1: (id, h, size, v, w) of each document."""
 
     def run(batches):
         for batch in batches:
             for i, j, data, offsets in block_views(batch.column("text")):
                 g, bounds = shingle_sets(data, offsets, n)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(np.diff(bounds)), pa.array(set_hash(g, bounds))], names=["id", "size", "v"])
+                vw = set_hash(g, bounds)
+                kept = [batch.column(c).slice(i, j - i) for c in ("id", "h")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(bounds)), pa.array(vw[:, 0]), pa.array(vw[:, 1])], names=["id", "h", "size", "v", "w"])
 
-    return docs.mapInArrow(lean(run), "id long, size long, v long")
+    return docs.select("id", "h", "text").mapInArrow(lean(run), "id long, h long, size long, v long, w long")
 
 
-def _slot(c):
+def _slot(c, bits: int):
     """Bitmap functions count from 1."""
-    return F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS)) + 1
+    return F.pmod(F.xxhash64(c), F.lit(1 << bits)) + 1
 
 
-def _slots_of(ids: DataFrame):
+def _slots_of(ids: DataFrame, bits: int):
     """A broadcast bit map, of fixed size, of the slots of column id: what is not
     in it is not among the ids."""
-    maps = ids.select(_slot("id").alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
-    table = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
-    for r in maps.collect():  # at most 2**SLOT_BITS / 32768 rows of 4 KB
+    maps = ids.select(_slot("id", bits).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    table = np.zeros(max((1 << bits) // 8, 4096), np.uint8)
+    for r in maps.collect():  # at most 2**bits / 32768 rows of 4 KB
         lo = (r.k - 1) * 4096
         table[lo : lo + 4096] = np.frombuffer(bytes(r.m), np.uint8)
     return ids.sparkSession.sparkContext.broadcast(table)
 
 
-def _own_sets(batches, bits: np.ndarray, n: int):
-    """(v, g, bounds) of the sets that this task meets first, of rows whose slot
+def _rows_of(docs: DataFrame, ids: DataFrame):
+    """(rows, bits): rows (slot, text) that have all documents of `ids`, and the
+    map that tells most others; without a map (null), they are the ids' own."""
+    count = ids.count()
+    need = max(17, (8 * count).bit_length())
+    if need <= SLOT_BITS + 2:
+        bits = min(need, SLOT_BITS)
+        return docs.select(_slot("id", bits).alias("slot"), "text"), _slots_of(ids, bits)
+    return docs.join(ids.select("id").distinct(), "id", "left_semi").select(F.lit(1).cast("long").alias("slot"), "text"), None
+
+
+def _own_sets(batches, bits: np.ndarray | None, n: int):
+    """(vw, g, bounds) of the sets that this task meets first, of rows whose slot
     is marked in the bit map."""
-    seen: set[int] = set()
+    seen: set[bytes] = set()
     for batch in batches:
-        s = batch.column("slot").to_numpy() - 1
-        batch = batch.filter(pa.array((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1))
+        if bits is not None:
+            s = batch.column("slot").to_numpy() - 1
+            batch = batch.filter(pa.array((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1))
         for i, j, data, offsets in block_views(batch.column("text")):
             g, bounds = shingle_sets(data, offsets, n)
-            v, size = set_hash(g, bounds), np.diff(bounds)
-            fresh = np.zeros(len(v), bool)
-            for k, x in enumerate(v.tolist()):
+            vw, size = set_hash(g, bounds), np.diff(bounds)
+            fresh = np.zeros(len(vw), bool)
+            for k, x in enumerate(np.ascontiguousarray(vw).view("V16").ravel().tolist()):
                 if size[k] and x not in seen:
                     seen.add(x)
                     fresh[k] = True
             keep = np.repeat(fresh, size)
-            yield v[fresh], g[keep], np.concatenate([[0], np.cumsum(size[fresh])])
+            yield vw[fresh], g[keep], np.concatenate([[0], np.cumsum(size[fresh])])
 
 
-_POSTING = pa.schema([("key", pa.int64()), ("v", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
+_POSTING = pa.schema([("key", pa.int64()), ("v", pa.int64()), ("w", pa.int64()), ("size", pa.int32())])
 _SENT = pa.schema([("route", pa.int32()), ("block", pa.int64()), ("doc", pa.binary()), ("key", pa.binary()), ("level", pa.binary())])
 
 
-def _postings(docs: DataFrame, bits, n: int, num: int, den: int, n_buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, keeper: DataFrame, n: int, num: int, den: int, n_buckets: int) -> DataFrame:
     """Step 2: the shared keys of each set's prefix."""
+    rows, bits = _rows_of(docs, keeper)
     low_bits = _U64((1 << 8 * SENT_BYTES) - 1)
 
     def send(batches):
         """Rows of a block and bucket: doc has pairs of a document and how many
-        keys it has there, key their hashes.  The block's own row has v and
+        keys it has there, key their hashes.  The block's own row has v, w and
         sizes."""
         held, count, block = [], 0, TaskContext.get().partitionId() << 24
 
         def flush():
-            v, g, size = (np.concatenate(x) for x in zip(*held))
-            doc, h = np.repeat(np.arange(len(v)), size), mix(g)
+            vw, g, size = (np.concatenate(x) for x in zip(*held))
+            doc, h = np.repeat(np.arange(len(vw)), size), mix(g)
             bucket, rest = (h % _U64(n_buckets)).astype(np.int64), (h // _U64(n_buckets)) & low_bits
             order = np.argsort(bucket, kind="stable")
             bucket, doc, rest = bucket[order], doc[order], rest[order]
@@ -170,11 +198,11 @@ def _postings(docs: DataFrame, bits, n: int, num: int, den: int, n_buckets: int)
                 keys = [np.ascontiguousarray(rest[edge[b] : edge[b + 1]].view(np.uint8).reshape(-1, 8)[:, :SENT_BYTES]).tobytes() for b in part]
                 m = len(part)
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(m, block)), pa.array(docs_of, pa.binary()), pa.array(keys, pa.binary()), pa.nulls(m, pa.binary())], schema=_SENT)
-            own = [pa.array([n_buckets + block % n_buckets], pa.int32()), pa.array([block]), pa.array([v.tobytes()], pa.binary()), pa.array([size.astype(np.int64).tobytes()], pa.binary()), pa.nulls(1, pa.binary())]
+            own = [pa.array([n_buckets + block % n_buckets], pa.int32()), pa.array([block]), pa.array([vw.tobytes()], pa.binary()), pa.array([size.astype(np.int64).tobytes()], pa.binary()), pa.nulls(1, pa.binary())]
             yield pa.RecordBatch.from_arrays(own, schema=_SENT)
 
-        for v, g, bounds in _own_sets(batches, bits.value, n):
-            held.append((v, g, np.diff(bounds)))
+        for vw, g, bounds in _own_sets(batches, bits and bits.value, n):
+            held.append((vw, g, np.diff(bounds)))
             count += len(g)
             if count >= BLOCK_KEYS:
                 yield from flush()
@@ -231,20 +259,19 @@ def _postings(docs: DataFrame, bits, n: int, num: int, den: int, n_buckets: int)
         now, own, rows = None, None, []
 
         def done():
-            v, size = np.frombuffer(own[0], np.int64), np.frombuffer(own[1], np.int64)
+            vw, size = np.frombuffer(own[0], np.int64).reshape(-1, 2), np.frombuffer(own[1], np.int64)
             doc, key, level = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((np.int32, _U64, np.uint8)))
             order = np.lexsort((key, level, doc))
             doc, key = doc[order], key[order]
-            shared = np.bincount(doc, minlength=len(v))
+            shared = np.bincount(doc, minlength=len(size))
             alone = size - shared
             take = np.clip(prefix_size(size, num, den) - alone, 0, shared)
             first = np.cumsum(shared) - shared
-            rank = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-            at = np.repeat(first, take) + rank
+            at = np.arange(take.sum()) + np.repeat(first - np.cumsum(take) + take, take)
             d = doc[at]
             for lo in range(0, len(at), 100_000):
                 w = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[at[w]].view(np.int64)), pa.array(v[d[w]]), pa.array(size[d[w]].astype(np.int32)), pa.array((alone[d[w]] + rank[w]).astype(np.int32))], schema=_POSTING)
+                yield pa.RecordBatch.from_arrays([pa.array(key[at[w]].view(np.int64)), pa.array(vw[d[w], 0]), pa.array(vw[d[w], 1]), pa.array(size[d[w]].astype(np.int32))], schema=_POSTING)
 
         for batch in batches:
             for route, block, doc, key, level in zip(*(c.to_pylist() for c in batch.columns)):
@@ -260,9 +287,9 @@ def _postings(docs: DataFrame, bits, n: int, num: int, den: int, n_buckets: int)
             yield from done()
 
     schema = "route int, block long, doc binary, key binary, level binary"
-    sent = docs.mapInArrow(lean(send), schema).repartition("route").sortWithinPartitions("route")
+    sent = rows.mapInArrow(lean(send), schema).repartition("route").sortWithinPartitions("route")
     back = sent.mapInArrow(lean(settle), schema).repartition("block").sortWithinPartitions("block")
-    return stored(back.mapInArrow(lean(prefixes), "key long, v long, size int, pos int"), "postings")
+    return stored(back.mapInArrow(lean(prefixes), "key long, v long, w long, size int"), "postings")
 
 
 def linked_roots(bodies: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -338,70 +365,171 @@ def linked_roots(bodies: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return root
 
 
-def _links(docs: DataFrame, groups: DataFrame, keeper: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect what is linked inside each candidate group;
-    `groups` has (v, comp, size)."""
-    total = groups.groupBy("comp").agg(F.sum("size").alias("total"))
-    parts = F.ceil(F.col("total") / (GROUP_KEYS // 2)).cast("int")
-    wide = groups.join(total, "comp").withColumn("parts", F.when(F.col("total") <= GROUP_KEYS, 1).otherwise(parts))
-    asked = stored(wide.join(keeper, "v").select("v", "id", "comp", "parts"), "asked")
-    bits = _slots_of(asked)
+def _bodies(docs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """(v, w, body) of the sets (v, w, id); one may come from several tasks."""
+    rows, bits = _rows_of(docs, sets)
 
-    def sets(batches):
-        for v, g, bounds in _own_sets(batches, bits.value, n):
+    def run(batches):
+        for vw, g, bounds in _own_sets(batches, bits and bits.value, n):
             body = [g[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(body, pa.binary())], names=["v", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(vw[:, 0]), pa.array(vw[:, 1]), pa.array(body, pa.binary())], names=["v", "w", "body"])
+
+    return rows.mapInArrow(lean(run), "v long, w long, body binary")
+
+
+_SET = "struct<v: bigint, w: bigint>"
+
+
+def _compared(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what is linked inside each unit of `dealt`
+    (unit, v, w, body); a set that comes twice is held once."""
 
-    def compare(batches):
+    def run(batches):
         now, held = None, {}
 
         def links():
-            vs = list(held)
-            root = linked_roots([held[v] for v in vs], num, den)
+            vs = np.array(list(held), np.int64)
+            root = linked_roots(list(held.values()), num, den)
             far = np.flatnonzero(root != np.arange(len(vs)))
-            ids = np.array(vs, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], names=["a", "b"])
+            ends = [pa.StructArray.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["v", "w"]) for x in (vs[far], vs[root[far]])]
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("comp", "lo", "hi"))))
-            for k, v, body in zip(keys, batch.column("v").to_pylist(), batch.column("body")):
-                if k != now and held:
+            for unit, v, w, body in zip(*(batch.column(c).to_pylist() for c in ("unit", "v", "w")), batch.column("body")):
+                if unit != now and held:
                     yield links()
                     held = {}
-                now = k
-                held[v] = np.frombuffer(body.as_py(), _U64)
+                now = unit
+                held[v, w] = np.frombuffer(body.as_py(), _U64)
         if held:
             yield links()
 
-    # By v alone: the row that a task meets first may be a copy whose slot
-    # another id marks.  The same set from several tasks is held once.
-    found = docs.mapInArrow(lean(sets), "v long, body binary").join(asked.drop("id"), "v")
-    # A group too large for one task is compared part against part, all pairs
-    # of parts, so that every two of its sets meet.
-    own = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = found.select("comp", "v", "body", own.alias("own"), other)
-    dealt = dealt.select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "v", "body")
-    dealt = dealt.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
-    return stored(dealt.mapInArrow(lean(compare), "a long, b long"), "links")
+    rows = dealt.select("unit", "v", "w", "body").repartition("unit").sortWithinPartitions("unit")
+    return rows.mapInArrow(lean(run), f"a {_SET}, b {_SET}")
+
+
+def _groups(postings: DataFrame) -> DataFrame:
+    """(v, comp): sets that share a prefix key, by a chain."""
+    hubs = stored(postings.groupBy("key").agg(F.min("v").alias("b")), "hubs")
+    out = components(postings.join(hubs, "key").select(F.col("v").alias("a"), "b").distinct())
+    discard(hubs)
+    return out
+
+
+def _open(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings of the keys that stand in sets of more than one component."""
+    own = F.struct("v", "w")
+    rows = postings.withColumn("node", own).join(labels, "node", "left").withColumn("root", F.coalesce("comp", "node")).drop("node", "comp")
+    keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return rows.drop("root").join(keys, "key", "left_semi")
+
+
+def _parts(total):
+    """Units that sets of so many keys in all are dealt to."""
+    return F.when(F.col(total) > GROUP_KEYS, F.ceil(F.col(total) / (GROUP_KEYS // 2))).otherwise(1).cast("int")
+
+
+def once_each(postings: DataFrame, seed: int) -> DataFrame:
+    """(v, w, unit) of every set, once: sets whose prefixes have the same
+    smallest key, in the order of the seed, are in one unit or, where they are
+    too many, in random units of bounded size."""
+    rows = postings.groupBy("v", "w").agg(F.min(F.xxhash64("key", F.lit(seed))).alias("first"), F.max("size").alias("size"))
+    total = rows.groupBy("first").agg(F.sum("size").alias("total")).select("first", _parts("total").alias("parts"))
+    salt = F.pmod(F.xxhash64("v", "w", F.lit(seed)), F.col("parts"))
+    return rows.join(total, "first").select("v", "w", F.xxhash64("first", salt).alias("unit"))
+
+
+def by_key(postings: DataFrame) -> DataFrame:
+    """(v, w, unit) such that any two sets that share a key share a unit.  Keys
+    of few sets are put together; the sets of a key that are too many for one
+    unit are dealt to parts, and every two parts meet."""
+    total = postings.agg(F.sum("size")).first()[0] or 0
+    keys = postings.groupBy("key").agg(F.sum("size").alias("total")).select("key", _parts("total").alias("parts"))
+    own = F.pmod(F.xxhash64("v", "w"), F.col("parts")).cast("int")
+    rows = postings.join(keys, "key").select("v", "w", "key", "parts", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    bucket = F.xxhash64(F.pmod(F.xxhash64("key"), F.lit(-(-int(total) // GROUP_KEYS) or 1)))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.select("v", "w", F.when(F.col("parts") == 1, bucket).otherwise(pair).alias("unit")).distinct()
+
+
+def _far_links(postings: DataFrame, bodies: DataFrame, num: int, den: int) -> DataFrame:
+    """Step 4: links in groups of more than GROUP_KEYS keys.  `postings` are
+    theirs."""
+    links, left = None, stored(postings, "open")
+    for seed in range(ROUNDS + 1):
+        dealt = once_each(left, seed) if seed < ROUNDS else by_key(left)
+        found = stored(_compared(dealt.join(bodies, ["v", "w"]), num, den), "links")
+        links = found if links is None else links.unionByName(found)
+        if seed == ROUNDS:
+            break
+        rest = stored(_open(left, components(links)), "open")
+        discard(left)
+        left = rest
+        if left.isEmpty():
+            break
+        groups = _groups(left)
+        sets = left.groupBy("v", "w").agg(F.max("size").alias("size")).join(groups.withColumnRenamed("node", "v"), "v")
+        total = sets.groupBy("comp").agg(F.sum("size").alias("total"))
+        sets = stored(sets.join(total, "comp"), "sets")
+        small = sets.where(F.col("total") <= GROUP_KEYS)
+        if not small.isEmpty():
+            links = links.unionByName(stored(_compared(small.withColumn("unit", F.col("comp")).join(bodies, ["v", "w"]), num, den), "links"))
+            rest = stored(left.join(sets.where(F.col("total") > GROUP_KEYS).select("v", "w"), ["v", "w"], "left_semi"), "open")
+            discard(left)
+            left = rest
+            if left.isEmpty():
+                break
+    return links
+
+
+def _links(docs: DataFrame, postings: DataFrame, keeper: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what is linked inside each candidate group."""
+    sets = stored(_groups(postings).withColumnRenamed("node", "v").join(keeper, "v"), "groups")
+    total = stored(sets.groupBy("comp").agg(F.sum("size").alias("total")), "totals")
+    sets = sets.join(total, "comp")
+    small = stored(sets.where(F.col("total") <= GROUP_KEYS).select("v", "w", "id", F.col("comp").alias("unit")), "asked")
+    large = total.where(F.col("total") > GROUP_KEYS).select("comp")
+    near = _compared(_bodies(docs, small.select("id"), n).join(small.drop("id"), ["v", "w"]), num, den)
+    near = stored(near, "links")
+    if large.isEmpty():
+        return near
+    far = stored(sets.join(large, "comp", "left_semi").select("v", "w", "id"), "large")
+    # One set may come from several tasks; its body is kept once.
+    bodies = _bodies(docs, far.select("id"), n).join(far.drop("id"), ["v", "w"], "left_semi").groupBy("v", "w").agg(F.any_value("body").alias("body"))
+    own = postings.join(far.drop("id"), ["v", "w"], "left_semi")
+    return near.unionByName(_far_links(own, stored(bodies, "bodies"), num, den))
+
+
+def _judged(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(id, h, size, first) of every row of `docs` (id, h, text), `first` being
+    the smallest (id, h) of the row's component; an empty set is its own."""
+    profile = stored(_profile(docs, n), "profile")
+    keeper = profile.where("size > 0").groupBy("v", "w").agg(F.min(F.struct("id", "h")).alias("least"), F.max("size").alias("size"))
+    keeper = stored(keeper.select("v", "w", F.col("least.id").alias("id"), "least", "size"), "keeper")
+    total = keeper.agg(F.sum("size")).first()[0] or 0
+    postings = _postings(docs, keeper, n, num, den, max(1, round(total / BUCKET_KEYS)))
+    labels = components(_links(docs, postings, keeper.drop("least"), n, num, den))
+    vertex = keeper.withColumn("node", F.struct("v", "w")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    lowest = vertex.groupBy("comp").agg(F.min("least").alias("first"))
+    vertex = stored(vertex.join(lowest, "comp").select("v", "w", "first"), "vertex")
+    discard(postings)
+    own = F.struct("id", "h")
+    return profile.join(vertex, ["v", "w"], "left").select("id", "h", "size", F.when(F.col("size") > 0, F.coalesce("first", own)).otherwise(own).alias("first"))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(id, h, text) of rows: doc_id with a number for null, and the text's hash."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def near_duplicate_groups(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("slot", _slot("id"))
-    profile = stored(_profile(docs.select("id", "text"), n), "profile")
-    keeper = stored(profile.where("size > 0").groupBy("v").agg(F.min("id").alias("id"), F.max("size").alias("size")), "keeper")
-    total = keeper.agg(F.sum("size")).first()[0] or 0
-    postings = _postings(docs, _slots_of(keeper), n, num, den, max(1, round(total / BUCKET_KEYS)))
-    # Sets that share a prefix key, by a chain, are a candidate group.
-    hubs = stored(postings.groupBy("key").agg(F.min("v").alias("b")), "hubs")
-    shared = postings.join(hubs, "key").select(F.col("v").alias("a"), "b").distinct()
-    groups = components(shared).withColumnRenamed("node", "v").join(keeper.select("v", "size"), "v")
-    labels = components(_links(docs, stored(groups, "groups"), keeper.select("v", "id"), n, num, den))
-    vertex = keeper.select("v", "id").join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    lowest = vertex.groupBy("comp").agg(F.min("id").alias("component_id"))
-    vertex = stored(vertex.join(lowest, "comp").select("v", "component_id"), "vertex")
-    out = profile.join(vertex, "v", "left")
-    component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("size").alias("n_shingles"), F.nullif(component, F.lit(NO_ID)).alias("component_id"))
+    out = _judged(identified(docs), n, num, den)
+    return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("size").alias("n_shingles"), F.nullif(F.col("first.id"), F.lit(NO_ID)).alias("component_id"))
+
+
+def near_duplicate_rows(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """(id, h, first, size) of every row as `identified` names it: of the rows
+    with one `first`, that whose own (id, h) it is stays."""
+    return _judged(identified(docs), n, num, den)

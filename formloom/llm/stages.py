@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from .common import free_name, read
-from .op03_jaccard_join import near_duplicate_groups
+from .common import free_name, read, stored
+from .op03_jaccard_join import NO_ID, near_duplicate_rows
 from .op05_quality import fit_quality, score_quality
 from .op07_packing import pack_documents
 from .op08_mixing import copies, fit_mixture, mixed, mixed_names
@@ -33,15 +34,29 @@ def toxicity_stage(spark, docs: DataFrame, sf_dir: str, threshold: float = 0.5)
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest
-    doc_id.  Repeated rows of one doc_id leave one row."""
-    groups = near_duplicate_groups(docs)
-    out = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One row of each group of near duplicates: that with the smallest doc_id
+    (null last) and, among equal ids, the smallest hash of its text.
+
+    Rows are judged by their texts, not by their ids: unlike texts under one id
+    all stay, and a row without doc_id goes if it is a copy.  Of rows that have
+    the same id and text, one stays, whatever their other columns: that with the
+    smallest hash over all columns.  Rows without words are linked with nothing
+    and all stay.
+    """
+    judged = stored(near_duplicate_rows(docs).where("size > 0"), "judged")
+    own = F.struct("id", "h")
+    gone = judged.where(F.col("first") != own).select("id", "h").distinct()
+    repeated = judged.where(F.col("first") == own).groupBy("id", "h").count().where("count > 1").select("id", "h")
+    row, key_id, key_h = free_name(docs, "_row"), free_name(docs, "_id"), free_name(docs, "_h")
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias(row), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(key_id), F.xxhash64(F.col("text").cast("string")).alias(key_h))
+    named = lambda keys: keys.select(F.col("id").alias(key_id), F.col("h").alias(key_h))
+    out = rows.join(named(gone), [key_id, key_h], "left_anti")
     if not repeated.isEmpty():
-        single = out.join(repeated, "doc_id", "left_anti")
-        out = single.unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(*docs.columns)
+        twice = out.join(named(repeated), [key_id, key_h], "left_semi")
+        hashed = [f"{row}.`{f.name}`" for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+        one = twice.groupBy(key_id, key_h).agg(F.min_by(F.col(row), F.xxhash64(*hashed)).alias(row))
+        out = out.join(named(repeated), [key_id, key_h], "left_anti").unionByName(one)
+    return out.select(f"{row}.*")
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

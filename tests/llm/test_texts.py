@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from formloom.llm import op02_license as lic
 from formloom.llm import op03_jaccard_join as near
@@ -199,16 +200,44 @@ def test_op3_drifting_copies(spark, drift, monkeypatch):
     df = spark.createDataFrame(drift, "doc_id long, text string").repartition(5)
     want = brute_groups(drift)
     assert read_groups(near.near_duplicate_groups(df)) == want
-    # Small blocks and buckets, and groups that are compared in parts.
-    for name, value in (("BUCKET_KEYS", 300), ("BLOCK_KEYS", 500), ("GROUP_KEYS", 2000)):
+    # Small blocks and buckets, groups that are dealt in rounds, ids by a join.
+    for name, value in (("BUCKET_KEYS", 300), ("BLOCK_KEYS", 500), ("GROUP_KEYS", 2000), ("ROUNDS", 1), ("SLOT_BITS", 4)):
         monkeypatch.setattr(near, name, value)
     assert read_groups(near.near_duplicate_groups(df)) == want
 
 
+def test_op3_large_group_is_dealt_once_a_round(spark, monkeypatch):
+    """A group of several times GROUP_KEYS keys: each round sends each set once,
+    in units of bounded size, and no key is left to be compared by parts."""
+    rng = np.random.default_rng(2)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(300):  # any two are linked
+        text = list(base)
+        text[rng.integers(0, 100)] = f"y{rng.integers(0, 30)}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, " ".join(base[:20] + [f"z{i}_{k}" for k in range(60)])) for i in range(10)]
+    sent, plain, parts = [], near.once_each, near.by_key
+
+    def counted(postings, seed):
+        units = plain(postings, seed).toPandas()
+        size = postings.groupBy("v", "w").agg(F.max("size").alias("size")).toPandas()
+        assert len(units) == len(size) == len(units[["v", "w"]].drop_duplicates())
+        assert units.merge(size, on=["v", "w"]).groupby("unit")["size"].sum().max() <= 2 * 8000
+        sent.append(len(units))
+        return plain(postings, seed)
+
+    monkeypatch.setattr(near, "GROUP_KEYS", 8000)
+    monkeypatch.setattr(near, "once_each", counted)
+    monkeypatch.setattr(near, "by_key", lambda postings: pytest.fail("keys left") or parts(postings))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert read_groups(near.near_duplicate_groups(df)) == brute_groups(rows)
+    assert sent and sent == sorted(sent, reverse=True)
+
+
 def test_op3_copy_before_keeper(spark):
     """A copy that is read before its set's keeper, in the slot of another id."""
     first, pairs = {}, []
-    for i, slot in spark.range(1, 40_000).select("id", near._slot("id")).collect():
+    for i, slot in spark.range(1, 3_000).select("id", near._slot("id", 17)).collect():
         if first.setdefault(slot, i) != i:
             pairs.append((first[slot], i))
     assert pairs
@@ -222,8 +251,8 @@ def test_op3_copy_before_keeper(spark):
 
 def test_op3_very_long_text(spark):
     """More keys of one text in one bucket than 16 bits count."""
-    text = [f"w{i}" for i in range(100_000)]
-    rows = [(3, " ".join(text)), (2, " ".join(text[:99_000])), (1, " ".join(text[:50_000])), (0, "a short text of seven words only")]
+    text = [f"w{i}" for i in range(200_000)]
+    rows = [(6, " ".join(text)), (5, " ".join(text[:199_000])), (4, " ".join(text[:70_000])), (3, " ".join(text[1000:70_000])), (0, "a short text of seven words only")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert read_groups(near.near_duplicate_groups(df)) == brute_groups(rows)
 
