@@ -8,10 +8,16 @@ byte that cannot belong to white space:
 * before a space that a solid byte follows;
 * before and after a newline between two solid bytes;
 * before one of .,;:!? between a letter and such a place (or the text's end).
+
+A text that holds a special token's string is encoded whole, by the tokenizer's
+own call: white space beside such a token is cut in other ways.
 """
 
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -53,24 +59,25 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Token ids of whole texts, without special tokens.
+    """Token ids of whole texts, as `encode(text, add_special_tokens=False)`
+    gives them: a special token's string in a text becomes its id.  With
+    `special_text` such strings are ordinary text.
 
-    Strings of special tokens in a text are ordinary text.  The cache of parts
-    is bounded by `max_parts`: when it is full, the half of them that was met
-    in the fewest blocks goes.
+    The cache of parts is bounded by `max_parts`: when it is full, the half of
+    them that was met in the fewest blocks goes.
     """
 
     #: A part of its own between others that are encoded in one call.
     BETWEEN = b" \x00"
 
-    def __init__(self, tokenizer_path: str, max_parts: int = 400_000):
-        import os
-
+    def __init__(self, tokenizer_path: str, max_parts: int = 400_000, special_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_text
+        names = [] if special_text else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.between = self.tokenizer.encode(self.BETWEEN.decode(), add_special_tokens=False).ids
         self.max_parts = max_parts
         self._keep(np.zeros(0, np.int64), [])
@@ -131,6 +138,25 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bounds by document, ids)."""
+        held = [m.start() for m in self.special.finditer(memoryview(np.ascontiguousarray(data)))] if self.special else []
+        if not held:
+            return self._encode_parts(data, offsets)
+        whole = np.unique(np.searchsorted(offsets, held, side="right") - 1)
+        other = np.ones(len(offsets) - 1, bool)
+        other[whole] = False
+        size = np.diff(offsets)
+        bounds, ids = self._encode_parts(data[np.repeat(other, size)], np.concatenate([[0], np.cumsum(size[other])]))
+        counts = np.zeros(len(size), np.int64)
+        counts[other] = np.diff(bounds)
+        alone = [np.array(self.tokenizer.encode(data[offsets[d] : offsets[d + 1]].tobytes().decode(), add_special_tokens=False).ids, np.int32) for d in whole]
+        counts[whole] = [len(x) for x in alone]
+        run = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty(run[-1], np.int32)
+        out[np.repeat(other, counts)] = ids
+        out[np.repeat(~other, counts)] = np.concatenate(alone)
+        return run, out
+
+    def _encode_parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = cuts(data, offsets)
         if not len(starts):
             return np.zeros(len(offsets), np.int64), np.zeros(0, np.int32)
@@ -171,11 +197,11 @@ def encoded_blocks(encoder: Encoder, col: pa.Array, end_id: int):
         yield i, j, out_bounds, out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_text: bool = False) -> Encoder:
     """This process's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, special_text) not in _ENCODERS:
+        _ENCODERS[path, special_text] = Encoder(path, special_text=special_text)
+    return _ENCODERS[path, special_text]

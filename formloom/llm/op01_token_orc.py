@@ -1,13 +1,16 @@
 """Token-ID output in ORC.
 
 Documents are dealt into ranges of ascending doc_id (nulls first; equal ids by
-text), so that the files in name order hold the corpus in id order.  Each task
+text, whose first characters are part of the range, so an id that many rows
+share is no range of its own), so that the files in name order hold the corpus
+in id order.  Each task
 encodes its documents and hands rows to Spark's ORC writer: the ids are an
 integer column with ORC's run-length encoding, row indexes come with every
 `index_stride` rows, and `doc_id` has a Bloom filter.  Readers prune stripes and
 row groups by doc_id without touching ids, and split files by stripe.
 
-Defined cases: null or empty text gives the end id alone; repeated rows give
+Defined cases: null or empty text gives the end id alone; a special token's
+string in a text gives its id, as the tokenizer's own call does; repeated rows give
 repeated rows; an empty table gives no rows; other columns are ignored.
 """
 
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import lean, scratch
 from .encode import encoded_blocks, encoder
 
+#: Characters of a text that tell rows of one doc_id apart in ranges.
+PREFIX = 48
 SCHEMA = "part int, row long, doc_id long, part_start long, n_tokens long, ids array<int>"
 _ARROW = pa.schema(
     [("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))]
@@ -54,7 +59,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 row, start = row + n, start + int(bounds[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), SCHEMA)
+    return rows.repartitionByRange("doc_id", F.substring("text", 1, PREFIX)).sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), SCHEMA)
 
 
 def write_token_orc(

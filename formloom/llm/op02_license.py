@@ -1,18 +1,24 @@
 """License scan with ordered signature rules, in DataFrame functions only.
 
-Texts become lower-case words (letters, digits, non-ASCII characters) joined by
-single spaces, so punctuation and line breaks do not matter.  A rule has a
-keyword, a regex over such text, a label, a priority (its place in RULES, lower
-is stronger) and a confidence.  Only rules whose keyword is one of the text's
-words are tried, and only texts with a keyword at all; a regex is there once for
-each of the words of which every match has one.  Detections are
-character intervals; one is suppressed by another that
+Texts become lower-case (A-Z) words (letters, digits, non-ASCII characters), so
+punctuation and line breaks do not matter.  A rule has keywords, a regex over
+words joined by single spaces, a label, a priority (its place in RULES, lower is
+stronger) and a confidence; every match of the regex has one of the keywords as
+a word.  Only texts with a keyword are looked at further.
+
+Such a text is cut between any two words that no rule has side by side.  No
+match crosses a cut, so the segments that have a keyword are all that is left to
+scan; equal segments are scanned once.  However long the text, a segment has few
+words, unless words of many rules run on into each other without end.
+In a segment, rules whose keyword it has are tried.  Detections are intervals;
+one is suppressed by another that
 
 * contains it and is longer, or
 * covers the same interval with a stronger priority, or
 * overlaps it in part with a stronger priority.
 
-Everything happens within a row: no shuffle, no Python.
+Everything happens within a row: no shuffle, no Python; the work grows with the
+number of words.
 
 Defined cases: null text counts as empty; no words: zero counts, null places,
 empty labels, score 0; repeated rows give equal values; other columns are
@@ -21,6 +27,10 @@ ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import json
+import string
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +48,12 @@ BASE = (
 BASE_KEYWORDS = ("cc", "license", "reserved")
 
 
+LICENSE = ("license", "licence")
+
+
 class Rule(NamedTuple):
-    keyword: str
+    keywords: tuple[str, ...]
+    #: Literals, [..], (?:..|..), ? and \\d alone, so that its phrases can be listed.
     regex: str
     label: str
     confidence: float
@@ -65,15 +79,13 @@ def _gnu_rules() -> list[Rule]:
             later = r"(?: of the licen[sc]e)? or(?: at your option)? (?:any )?(?:later|newer)(?: version)?"
             forms = ((rf"{long}{at}", "license", 0.95), (rf"(?:gnu )?{short}(?: (?:version|v))? ?v?{number}", short, 0.85), (_spdx(rf"{short} {number}"), "spdx", 1.0))
             for regex, keyword, sure in forms:
-                words = ("license", "licence") if keyword == "license" else (keyword,)
+                words = LICENSE if keyword == "license" else (keyword,)
                 # The version may be written to the word, as in gplv3.
                 joined = () if keyword == "spdx" else tuple(f"{w}{x}{number[0]}" for w in words for x in ("v", ""))
-                for k in (*words, *joined):
-                    out.append(Rule(k, rf"{regex}(?:{later}| or later)", f"{short}-{dotted}-or-later", sure))
-                    out.append(Rule(k, rf"{regex}(?: only)?", f"{short}-{dotted}", sure))
-        for k in ("license", "licence"):
-            out.append(Rule(k, long, short, 0.8))
-        out.append(Rule(short, rf"(?:gnu )?{short}(?: licen[sc]ed?)?", short, 0.6))
+                out.append(Rule((*words, *joined), rf"{regex}(?:{later}| or later)", f"{short}-{dotted}-or-later", sure))
+                out.append(Rule((*words, *joined), rf"{regex}(?: only)?", f"{short}-{dotted}", sure))
+        out.append(Rule(LICENSE, long, short, 0.8))
+        out.append(Rule((short,), rf"(?:gnu )?{short}(?: licen[sc]ed?)?", short, 0.6))
     return out
 
 
@@ -87,16 +99,15 @@ def _cc_rules() -> list[Rule]:
             long = " ".join(("attribution", *(parts[k] for k in kind)))
             label = "-".join(("cc", "by", *kind)) + (f"-{v.replace(' ', '.')}" if v else "")
             tail, name = (rf" (?:v |version )?{v}", rf"(?: international| unported| generic| public)?") if v else ("", "")
-            out.append(Rule("spdx", _spdx(rf"cc {short}{tail}"), label, 1.0))
-            out.append(Rule("creativecommons", rf"creativecommons org licenses {short}{tail}", label, 1.0))
-            for word in ("license", "licence"):
-                out.append(Rule(word, rf"creative commons {long}{tail}{name} licen[sc]e", label, 0.95))
-            out.append(Rule("creative", rf"creative commons {long}(?: licen[sc]e)?{tail}{name}", label, 0.95))
-            out.append(Rule("cc", rf"cc {short}{tail}{name}", label, 0.9))
+            out.append(Rule(("spdx",), _spdx(rf"cc {short}{tail}"), label, 1.0))
+            out.append(Rule(("creativecommons",), rf"creativecommons org licenses {short}{tail}", label, 1.0))
+            out.append(Rule(("creative",), rf"creative commons {long}{tail}{name} licen[sc]e", label, 0.95))
+            out.append(Rule(("creative",), rf"creative commons {long}(?: licen[sc]e)?{tail}{name}", label, 0.95))
+            out.append(Rule(("cc",), rf"cc {short}{tail}{name}", label, 0.9))
     out += [
-        Rule("cc0", r"cc0(?: 1 0)?(?: universal)?", "cc0-1.0", 0.95),
-        Rule("creativecommons", r"creativecommons org publicdomain zero 1 0", "cc0-1.0", 1.0),
-        Rule("creative", r"creative commons zero(?: v?1 0)?(?: universal)?", "cc0-1.0", 0.95),
+        Rule(("cc0",), r"cc0(?: 1 0)?(?: universal)?", "cc0-1.0", 0.95),
+        Rule(("creativecommons",), r"creativecommons org publicdomain zero 1 0", "cc0-1.0", 1.0),
+        Rule(("creative",), r"creative commons zero(?: v?1 0)?(?: universal)?", "cc0-1.0", 0.95),
     ]
     return out
 
@@ -129,11 +140,10 @@ def _named_rules() -> list[Rule]:
         for v in (*versions, ""):
             tail = rf"(?: (?:version|v))? v?{v}" if v else ""
             full = f"{label}-{v.replace(' ', '.')}" if v else label
-            for k in ("license", "licence"):
-                out.append(Rule(k, rf"(?:the )?{name}{tail}", full, 0.95 if v else 0.8))
-            out.append(Rule("spdx", _spdx(rf"{short}{tail}"), full, 1.0))
+            out.append(Rule(LICENSE, rf"(?:the )?{name}{tail}", full, 0.95 if v else 0.8))
+            out.append(Rule(("spdx",), _spdx(rf"{short}{tail}"), full, 1.0))
             if v:
-                out.append(Rule(key, rf"{short}{tail}", full, 0.8))
+                out.append(Rule((key,), rf"{short}{tail}", full, 0.8))
     return out
 
 
@@ -143,47 +153,40 @@ def _clause_rules() -> list[Rule]:
     other = {"2": "simplified|freebsd", "3": "new|modified|revised", "4": "original|old"}
     for n, word in words.items():
         names = rf"(?:{n}|{word}) clause" + (rf"|{other[n]}" if n in other else "")
-        out.append(Rule("bsd", rf"(?:{names}) bsd(?: style)?(?: licen[sc]e)?", f"bsd-{n}-clause", 0.95))
-        out.append(Rule("bsd", rf"bsd (?:{names})(?: licen[sc]e)?", f"bsd-{n}-clause", 0.95))
-    out.append(Rule("bsd", r"bsd(?: style)? licen[sc]ed?", "bsd", 0.8))
-    for k in ("license", "licence", "licensed"):
-        out += [
-            Rule(k, r"(?:the )?mit 0 licen[sc]e", "mit-0", 0.95),
-            Rule(k, r"(?:the )?(?:mit|expat|mit x11)(?: style)? licen[sc]e", "mit", 0.95),
-            Rule(k, r"licen[sc]ed under(?: the)? (?:mit|expat)", "mit", 0.9),
-            Rule(k, r"(?:the )?isc licen[sc]e", "isc", 0.95),
-            Rule(k, r"(?:the )?(?:zlib|libpng)(?: libpng)? licen[sc]e", "zlib", 0.95),
-            Rule(k, r"(?:the )?(?:unlicense|unlicence)", "unlicense", 0.95),
-            Rule(k, r"(?:the )?beerware licen[sc]e", "beerware", 0.9),
-            Rule(k, r"do what the f\w* you want to public licen[sc]e", "wtfpl", 0.95),
-        ]
+        out.append(Rule(("bsd",), rf"(?:{names}) bsd(?: style)?(?: licen[sc]e)?", f"bsd-{n}-clause", 0.95))
+        out.append(Rule(("bsd",), rf"bsd (?:{names})(?: licen[sc]e)?", f"bsd-{n}-clause", 0.95))
+    out.append(Rule(("bsd",), r"bsd(?: style)? licen[sc]ed?", "bsd", 0.8))
     out += [
-        Rule("licenced", r"licen[sc]ed under(?: the)? (?:mit|expat)", "mit", 0.9),
-        Rule("unlicense", r"(?:the )?(?:unlicense|unlicence)", "unlicense", 0.95),
-        Rule("unlicence", r"(?:the )?(?:unlicense|unlicence)", "unlicense", 0.95),
-        Rule("spdx", _spdx("mit"), "mit", 1.0),
-        Rule("spdx", _spdx("isc"), "isc", 1.0),
-        Rule("spdx", _spdx("zlib"), "zlib", 1.0),
-        Rule("unlicense", r"(?:the )?unlicense", "unlicense", 0.8),
-        Rule("wtfpl", r"wtfpl", "wtfpl", 0.9),
-        Rule("granted", r"permission is hereby granted free of charge to any person obtaining a copy", "mit", 0.9),
-        Rule("redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", "bsd", 0.9),
-        Rule("permission", r"permission to use copy modify and or distribute this software for any purpose", "isc", 0.9),
+        Rule(LICENSE, r"(?:the )?mit 0 licen[sc]e", "mit-0", 0.95),
+        Rule(LICENSE, r"(?:the )?(?:mit|expat|mit x11)(?: style)? licen[sc]e", "mit", 0.95),
+        Rule(("licensed", "licenced"), r"licen[sc]ed under(?: the)? (?:mit|expat)", "mit", 0.9),
+        Rule(LICENSE, r"(?:the )?isc licen[sc]e", "isc", 0.95),
+        Rule(LICENSE, r"(?:the )?(?:zlib|libpng)(?: libpng)? licen[sc]e", "zlib", 0.95),
+        Rule(("unlicense", "unlicence"), r"(?:the )?unlicen[sc]e", "unlicense", 0.95),
+        Rule(LICENSE, r"(?:the )?beerware licen[sc]e", "beerware", 0.9),
+        Rule(LICENSE, r"do what the f(?:uck|ck| ck| k)? you want to public licen[sc]e", "wtfpl", 0.95),
+        Rule(("spdx",), _spdx("mit"), "mit", 1.0),
+        Rule(("spdx",), _spdx("isc"), "isc", 1.0),
+        Rule(("spdx",), _spdx("zlib"), "zlib", 1.0),
+        Rule(("wtfpl",), r"wtfpl", "wtfpl", 0.9),
+        Rule(("granted",), r"permission is hereby granted free of charge to any person obtaining a copy", "mit", 0.9),
+        Rule(("redistribution",), r"redistribution and use in source and binary forms with or without modification are permitted", "bsd", 0.9),
+        Rule(("permission",), r"permission to use copy modify and or distribute this software for any purpose", "isc", 0.9),
     ]
     return out
 
 
 def _notice_rules() -> list[Rule]:
     return [
-        Rule("domain", r"(?:released|dedicated|placed) (?:in)?to the public domain", "public-domain", 0.9),
-        Rule("domain", r"in the public domain", "public-domain", 0.7),
-        Rule("reserved", r"all rights reserved", "reserved", 0.7),
-        Rule("reserved", r"(?:no|some) rights reserved", "rights-notice", 0.5),
-        Rule("proprietary", r"proprietary and confidential", "proprietary", 0.8),
-        Rule("permission", r"(?:used|reprinted|reproduced) (?:with|by) permission", "by-permission", 0.6),
-        Rule("copyright", r"copyright(?: c)? (?:19|20)\d\d", "copyright", 0.4),
-        *(Rule(k, r"(?:for )?non ?commercial use only", "non-commercial", 0.6) for k in ("commercial", "noncommercial")),
-        Rule("educational", r"for educational (?:use|purposes) only", "educational-use", 0.5),
+        Rule(("domain",), r"(?:released|dedicated|placed) (?:in)?to the public domain", "public-domain", 0.9),
+        Rule(("domain",), r"in the public domain", "public-domain", 0.7),
+        Rule(("reserved",), r"all rights reserved", "reserved", 0.7),
+        Rule(("reserved",), r"(?:no|some) rights reserved", "rights-notice", 0.5),
+        Rule(("proprietary",), r"proprietary and confidential", "proprietary", 0.8),
+        Rule(("permission",), r"(?:used|reprinted|reproduced) (?:with|by) permission", "by-permission", 0.6),
+        Rule(("copyright",), r"copyright(?: c)? (?:19|20)\d\d", "copyright", 0.4),
+        Rule(("commercial", "noncommercial"), r"(?:for )?non ?commercial use only", "non-commercial", 0.6),
+        Rule(("educational",), r"for educational (?:use|purposes) only", "educational-use", 0.5),
     ]
 
 
@@ -191,13 +194,43 @@ def _notice_rules() -> list[Rule]:
 RULES: tuple[Rule, ...] = tuple(_cc_rules() + _gnu_rules() + _named_rules() + _clause_rules() + _notice_rules())
 
 
-def _rule_array(rules) -> Column:
-    return F.array(
-        *[
-            F.struct(F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= ){r.regex}(?= )").alias("regex"), F.lit(r.label).alias("label"), F.lit(i).alias("rank"), F.lit(r.confidence).alias("sure"))
-            for i, r in enumerate(rules)
-        ]
-    )
+def phrases(regex: str) -> list[str]:
+    """Every text that a rule's regex matches."""
+
+    def branches(i: int) -> tuple[list[str], int]:
+        found, i = sequence(i)
+        while i < len(regex) and regex[i] == "|":
+            more, i = sequence(i + 1)
+            found = found + more
+        return found, i
+
+    def sequence(i: int) -> tuple[list[str], int]:
+        done = [""]
+        while i < len(regex) and regex[i] not in "|)":
+            if regex.startswith("(?:", i):
+                part, i = branches(i + 3)
+                i += 1
+            elif regex[i] == "[":
+                end = regex.index("]", i)
+                part, i = list(regex[i + 1 : end]), end + 1
+            elif regex.startswith(r"\d", i):
+                part, i = list(string.digits), i + 2
+            elif regex[i].isalnum() or regex[i] == " ":
+                part, i = [regex[i]], i + 1
+            else:
+                raise ValueError(f"not in a rule: {regex[i:]}")
+            if regex[i : i + 1] == "?":
+                part, i = part + [""], i + 1
+            done = [a + b for a in done for b in part]
+        return done, i
+
+    return branches(0)[0]
+
+
+@functools.cache
+def neighbours(rules: tuple[Rule, ...]) -> frozenset[str]:
+    """All 'a b' such that some rule matches a text with the words a b."""
+    return frozenset(" ".join(pair) for regex in {r.regex for r in rules} for text in phrases(regex) for pair in itertools.pairwise(text.split(" ")))
 
 
 def _places(words: Column, phrase: tuple[str, ...]) -> Column:
@@ -234,18 +267,51 @@ def _suppressed(d: Column, e: Column) -> Column:
     return (contains & (longer | (e["rank"] < d["rank"]))) | (overlap & ~contains & ~inside & (e["rank"] < d["rank"]))
 
 
-def detections(text: Column, keywords: Column, rules=RULES) -> Column:
-    """Detections that stand after suppression; `text` is words joined by
-    single spaces, with one before and behind."""
-    tried = F.filter(_rule_array(rules), lambda r: F.array_contains(keywords, r["keyword"]) & F.rlike(text, r["regex"]))
-    return F.flatten(F.transform(tried, lambda r: _intervals(text, r)))
+def let(value: Column, body) -> Column:
+    """body(value), the value being worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def detections(text: Column, rules=RULES) -> Column:
+    """Detections that stand after suppression in a segment, which is words
+    joined by single spaces, with one before and behind."""
+    by_keyword: dict[str, list] = {}
+    for rank, r in enumerate(rules):
+        for k in r.keywords:
+            by_keyword.setdefault(k, []).append({"regex": f"(?<= ){r.regex}(?= )", "label": r.label, "rank": rank, "sure": r.confidence})
+    # A literal: it is folded when the query is planned.
+    table = F.from_json(F.lit(json.dumps(by_keyword)), "map<string,array<struct<regex:string,label:string,rank:int,sure:double>>>")
+    keys = F.array_intersect(F.split(text, " "), F.map_keys(table))
+    tried = F.array_distinct(F.flatten(F.transform(keys, lambda k: F.element_at(table, k))))
+    found = F.flatten(F.transform(F.filter(tried, lambda r: F.rlike(text, r["regex"])), lambda r: _intervals(text, r)))
+    return let(found, lambda each: F.filter(each, lambda d: ~F.exists(each, lambda e: _suppressed(d, e))))
+
+
+def segments(words: str, rules=RULES) -> Column:
+    """'number word word ...' of each segment that has a keyword, the number
+    being that of its first word in the array column `words`."""
+    pairs = ", ".join(f"'{p}'" for p in sorted(neighbours(tuple(rules))))
+    marked = F.expr(f"transform({words}, (w, i) -> CASE WHEN concat(get({words}, i - 1), ' ', w) IN ({pairs}) THEN concat(' ', w) ELSE concat('\\n', CAST(i AS STRING), ' ', w) END)")
+    gate = "|".join(sorted({k for r in rules for k in r.keywords}))
+    return F.filter(F.split(F.array_join(marked, ""), "\n"), lambda s: F.rlike(s, F.lit(f" (?:{gate})(?: |$)")))
+
+
+def _span(start: Column, text: Column, d: Column) -> Column:
+    """A detection's place by words: lo, hi (behind its last word) and label."""
+    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    lo = start + spaces(F.substring(text, F.lit(1), d["lo"])) - 1
+    return F.struct(lo.alias("lo"), (lo + spaces(F.substring(text, d["lo"] + 1, d["hi"] - d["lo"])) + 1).alias("hi"), d["label"].alias("label"))
 
 
 def scan_licenses(docs: DataFrame, rules=RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_words, n_base, first_word, last_word, base_labels, labels,
-    score and spans (lo, hi, label, of the normalised text) of each document."""
-    keywords = sorted({r.keyword for r in rules} | set(BASE_KEYWORDS))
-    low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    score and spans (lo, hi, label, by words) of each document."""
+    keywords = sorted({k for r in rules for k in r.keywords} | set(BASE_KEYWORDS))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # A-Z alone.  Other letters may change their case too, as no rule has them,
+    # but for two that become ASCII.
+    exact = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    low = F.when(F.rlike(text, F.lit("[\u0130\u212a]")), exact).otherwise(F.lower(text))
     rows = docs.select(*keep, F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("_words"))
     rows = rows.select(*keep, F.size("_words").cast("long").alias("n_words"), F.array_intersect("_words", F.array(*map(F.lit, keywords))).alias("_keys"), "_words")
     # Texts without a keyword need their words no longer.
@@ -256,12 +322,17 @@ def scan_licenses(docs: DataFrame, rules=RULES, keep: tuple[str, ...] = ("doc_id
     at = F.concat(*[F.col(f"_at{k}") for k in range(len(BASE))])
     base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"_at{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)])))
     rows = rows.withColumn("_at", at).withColumn("_base", base)
-    text = F.when(F.size("_keys") > 0, F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
-    rows = rows.withColumn("_text", text).withColumn("_all", F.when(F.col("_text").isNotNull(), detections(F.col("_text"), F.col("_keys"), rules)))
-    rows = rows.withColumn("_kept", F.filter("_all", lambda d: ~F.exists("_all", lambda e: _suppressed(d, e))))
+    rows = rows.withColumn("_parts", F.when(F.size("_keys") > 0, segments("_words", rules)))
+    body = lambda s: F.concat(F.lit(" "), F.substring(s, F.instr(s, F.lit(" ")) + 1, F.length(s)), F.lit(" "))
+    rows = rows.withColumn("_kept", F.flatten(F.transform(F.array_distinct(F.transform("_parts", body)), lambda t: detections(t, rules))))
     empty = F.array().cast("array<string>")
     labels = F.array_sort(F.array_distinct(F.concat("_base", F.coalesce(F.transform("_kept", lambda d: d["label"]), empty))))
     best = F.coalesce(F.array_max(F.transform("_kept", lambda d: d["sure"])), F.lit(0.0))
+
+    def placed(s):
+        start = F.substring_index(s, " ", 1).cast("int")
+        return let(body(s), lambda t: F.transform(detections(t, rules), lambda d: _span(start, t, d)))
+
     return rows.select(
         *keep,
         "n_words",
@@ -271,5 +342,5 @@ def scan_licenses(docs: DataFrame, rules=RULES, keep: tuple[str, ...] = ("doc_id
         F.array_join("_base", ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
         F.greatest(best, F.when(F.size("_base") > 0, 0.5).otherwise(0.0)).alias("score"),
-        F.transform("_kept", lambda d: F.struct(d["lo"].alias("lo"), d["hi"].alias("hi"), d["label"].alias("label"))).alias("spans"),
+        F.flatten(F.transform("_parts", placed)).alias("spans"),
     )

@@ -112,7 +112,7 @@ def _tokens(nodes: DataFrame, tokenizer: str, loss_role: str) -> DataFrame:
     keep = ["node", "parent", "k", "owner", "n_convs"]
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_text=True)
         for batch in batches:
             roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
             segments = pa.array([p for r, t in zip(roles, texts) for p in parts(r, t)], pa.large_string())
@@ -227,7 +227,7 @@ def read_conversations(spark, path: str, tokenizer: str) -> DataFrame:
     nodes = spark.read.parquet(f"{path}/nodes").select("node", "ids", "loss_from", "loss_to")
 
     def run(batches):
-        tok = encoder(tokenizer).tokenizer
+        tok = encoder(tokenizer, special_text=True).tokenizer
         for batch in batches:
             ids, lo, hi = (batch.column(c).to_pylist() for c in ("ids", "loss_from", "loss_to"))
             whole = tok.decode_batch(ids, skip_special_tokens=False)

@@ -42,17 +42,17 @@ def license_scan_sql() -> str:
     def wide(regex: str) -> str:
         return " (?:" + regex.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?") + ") "
 
-    rules = ",\n".join(f"({i}, {quote(r.keyword)}, {quote(wide(r.regex))}, {quote(r.label)}, {r.confidence})" for i, r in enumerate(RULES))
+    rules = ",\n".join(f"({i}, [{', '.join(map(quote, r.keywords))}], {quote(wide(r.regex))}, {quote(r.label)}, {r.confidence})" for i, r in enumerate(RULES))
     places = " || ".join(
         f"list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f'w[i + {k}] IS NOT DISTINCT FROM {quote(word)}' for k, word in enumerate(phrase))})" for phrase, _ in BASE
     )
     marks = ", ".join(f"CASE WHEN contains(single, {quote(' ' + ' '.join(phrase) + ' ')}) THEN {quote(label)} END" for phrase, label in BASE)
     return rf"""
-WITH rules(rank, keyword, regex, label, sure) AS (VALUES {rules}),
-words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+WITH rules(rank, keywords, regex, label, sure) AS (VALUES {rules}),
+words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
 texts AS (SELECT doc_id, w, ' ' || array_to_string(w, '  ') || ' ' AS t, ' ' || array_to_string(w, ' ') || ' ' AS single FROM words),
 base AS (SELECT doc_id, {places} AS spots, list_filter([{marks}], lambda x: x IS NOT NULL) AS base FROM texts),
-tried AS (SELECT doc_id, rank, label, sure, regexp_extract_all(t, regex) AS m, string_split_regex(t, regex) AS p FROM texts JOIN rules ON list_contains(w, keyword)),
+tried AS (SELECT doc_id, rank, label, sure, regexp_extract_all(t, regex) AS m, string_split_regex(t, regex) AS p FROM texts JOIN rules ON list_has_any(w, keywords)),
 each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM tried WHERE len(m) > 0),
 found AS (SELECT doc_id, rank, label, sure, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS lo, length(m[i]) AS n FROM each),
 d AS (SELECT *, lo + n AS hi FROM found),

@@ -7,7 +7,7 @@ LONG = " ".join(f"word{i % 977} tail{i % 31}" for i in range(30_000))
 #: Nulls, empty and very long texts, ties and repeated rows.
 EDGE = [
     (5, "a b c d e f g h i j", "en"), (5, "a b c d e f g h i j", "en"), (6, "a b c d e f g h i j", "en"), (7, None, "en"), (8, "", None), (9, "  \n\t ", "de"),
-    (10, LONG, "de"), (11, LONG + " more", None), (12, "two words", "fr"), (13, "two words", "fr"), (14, "Two  WORDS", "fr"), (None, "no id here", "es"), (15, "é漢字🙂 ß", "es"), (None, None, None),
+    (10, LONG, "de"), (11, LONG + " more", None), (12, "two words", "fr"), (13, "two words", "fr"), (14, "Two  WORDS", "fr"), (None, "no id here", "es"), (15, "é漢字🙂 ß", "es"), (None, None, None), (16, "a <|endoftext|>  <|startoftext|>b", "en"),
 ]
 
 

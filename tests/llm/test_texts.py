@@ -33,7 +33,7 @@ def scan(text):
             base.add(label)
     joined, found = " " + " ".join(words) + " ", []
     for rank, r in enumerate(lic.RULES):
-        if r.keyword in words:
+        if not set(words).isdisjoint(r.keywords):
             found += [(m.start(), m.end(), rank, r.label, r.confidence) for m in re.finditer(f"(?<= ){r.regex}(?= )", joined)]
 
     def loses(d, e):
@@ -109,12 +109,54 @@ def matches_of(tree):
 
 
 def test_op2_every_match_has_a_keyword():
-    keys = {}
     for r in lic.RULES:
-        keys.setdefault((r.regex, r.label, r.confidence), set()).add(r.keyword)
-    for (regex, *_), words in keys.items():
-        missed = [x for x in matches_of(re._parser.parse(regex)) if words.isdisjoint(x.split(" "))]
-        assert not missed, (regex, missed[:3])
+        every = lic.phrases(r.regex)
+        assert set(every) == set(matches_of(re._parser.parse(r.regex.replace(r"\d", "[0123456789]"))))
+        missed = [x for x in every if set(r.keywords).isdisjoint(x.split(" "))]
+        assert not missed, (r.regex, missed[:3])
+    assert len({r.regex for r in lic.RULES}) == len(lic.RULES) > 300
+
+
+#: Labels by hand, apart from the rules.
+EXPECTED = {
+    "Apache License, Version 2.0": "apache-2.0", "the Apache Software License 1.1": "apache-1.1", "Mozilla Public License v2.0": "mpl-2.0", "MPL 1.1": "mpl-1.1", "Eclipse Public License": "epl",
+    "Boost Software License - Version 1.0": "bsl-1.0", "SIL Open Font License 1.1": "ofl-1.1", "European Union Public Licence 1.2": "eupl-1.2", "Artistic License 2.0": "artistic-2.0", "PSF 2.0": "psf-2.0",
+    "2-clause BSD license": "bsd-2-clause", "the new BSD licence": "bsd-3-clause", "BSD-style license": "bsd", "the MIT License (MIT)": "mit", "MIT-0 License": "mit-0", "ISC license": "isc", "zlib/libpng license": "zlib", "This is the Unlicense": "unlicense",
+    "CC0 1.0 Universal": "cc0-1.0", "CC-BY-SA 3.0 unported": "cc-by,cc-by-sa-3.0", "CC BY-NC-ND 4.0": "cc-by,cc-by-nc-nd-4.0", "Creative Commons Attribution-NonCommercial 2.5 License": "cc-by-nc-2.5",
+    "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: LGPL-2.1-only": "lgpl-2.1", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "GPLv2 or any later version": "gpl-2.0-or-later", "GNU General Public License": "gpl",
+    "GNU Affero General Public Licence v3.0 or later": "agpl-3.0-or-later", "some rights reserved": "rights-notice", "placed into the public domain": "public-domain", "Copyright (c) 2019": "copyright", "reprinted by permission": "by-permission",
+    "for educational purposes only": "educational-use", "permission is hereby granted, free of charge, to any person obtaining a copy": "mit", "do what the f*** you want to public license": "wtfpl", "license to print": "", "domain": "", "under CC by the sea": "cc-by",
+    "CC BY-shareali\u212ae 4.0": "cc-by", "non-commerc\u0130al use only": "", "ALL R\u0130GHTS RESERVED": "",
+}
+
+
+def test_op2_labels_by_hand(spark):
+    df = spark.createDataFrame([(i, f"xx {x}. yy") for i, x in enumerate(EXPECTED)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in lic.scan_licenses(df).collect()}
+    assert {x: got[i] for i, x in enumerate(EXPECTED)} == EXPECTED
+
+
+def test_op2_many_matches_in_one_text(spark):
+    """Work in proportion to the matches, equal ones or not."""
+    import time
+
+    lic.neighbours(lic.RULES)
+    texts = ["all rights reserved " * 100_000, " ".join(f"copyright {1900 + i % 200} gpl v{1 + i % 3} x{i}" for i in range(100_000)), "gpl 2 0 or later " * 50_000 + "cc by 4 0 " * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    df.count()
+    lic.scan_licenses(df.limit(0)).drop("spans").collect()
+    began = time.monotonic()
+    got = read_scan(lic.scan_licenses(df).drop("spans"))
+    took = time.monotonic() - began
+    assert got[0][1:] == (100_000, 0, 299_997, "reserved", "reserved", 0.7) and got[1][5] == "copyright,gpl-1.0,gpl-2.0,gpl-3.0" and got[2][5] == "cc-by,cc-by-4.0,gpl-2.0-or-later"
+    assert took < 30, took  # three texts
+
+
+def test_op2_spans_are_words(spark):
+    text = "one two CC BY-SA 4.0, three; the MIT license. Four all rights reserved"
+    (row,) = lic.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    words = WORD.findall(text.lower())
+    assert sorted((" ".join(words[s.lo : s.hi]), s.label) for s in row.spans) == [("all rights reserved", "reserved"), ("cc by sa 4 0", "cc-by-sa-4.0"), ("the mit license", "mit")]
 
 
 def test_op2_gate_leaves_nothing_out(spark):
@@ -122,8 +164,10 @@ def test_op2_gate_leaves_nothing_out(spark):
     df = spark.createDataFrame([(i, x + " anyword") for i, x in enumerate(texts)], "doc_id long, text string")
     read = lambda d: {r.doc_id: (r.labels, r.score, [tuple(x) for x in r.spans or ()]) for r in d.select("doc_id", "labels", "score", "spans").collect()}
     got = read(lic.scan_licenses(df))
-    ungated = tuple({r[1:]: r._replace(keyword="anyword") for r in lic.RULES}.values())
-    assert got == read(lic.scan_licenses(df, ungated))
+    # Without cuts and keywords: rules one by one over whole texts.
+    for i, text in enumerate(texts):
+        w = scan(text + " anyword")
+        assert got[i][:2] == w[5:], text
     assert [got[i][0] for i in (0, 1, 2, 4, 9, 11)] == ["gpl-3.0", "gpl-2.0", "gpl-3.0-or-later", "lgpl-2.1", "non-commercial", "mit"]
 
 

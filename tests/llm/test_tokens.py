@@ -21,9 +21,7 @@ BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 
 
 def plain(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
@@ -36,6 +34,17 @@ def test_parts_encode_like_whole_texts(path):
     for enc in (Encoder(path), small):
         got = [ids[bounds[k] : bounds[k + 1]].tolist() for _, _, bounds, ids in itertools.chain(encoded_blocks(enc, pa.array(texts[:2000]), 7), encoded_blocks(enc, pa.array(texts[2000:]), 7)) for k in range(len(bounds) - 1)]
         assert got == [w + [7] for w in want]
+    # Where such strings are to be text, no special id appears.
+    enc, special = Encoder(path, special_text=True), set(t.get_added_tokens_decoder())
+    assert special and any(special & set(w) for w in want)
+    t.encode_special_tokens = True
+    got = [ids[bounds[k] : bounds[k + 1]].tolist() for _, _, bounds, ids in encoded_blocks(enc, pa.array(texts), 7) for k in range(len(bounds) - 1)]
+    assert got == [e.ids + [7] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def test_special_strings():
+    enc = Encoder(BYTE)
+    assert next(encoded_blocks(enc, pa.array(["a<|endoftext|>b"]), 2))[3].tolist() == [64, 50256, 65, 2]
 
 
 def expected_orc(rows, end):
