@@ -2,21 +2,30 @@
 
 A naive Bayes classifier over hashed words, fitted on a bounded sample of a
 labelled table, gives each document posteriors over domains, so a document
-counts in part for several.  Document rates r >= 0 (and at most MAX_RATE) are then fitted by projected
-gradient descent on the squared distance between the expected domain token
-totals sum_i r_i t_i p_i and the targets.  A step moves each rate along its own
-gradient t_i p_i . m, the residual m being scaled by the Gram matrix of the
-documents whose rates are free, and projects it to 0 <= r <= MAX_RATE.  A rate is a function
-of (t, p) and the few step vectors, so iterations keep no state: each is one
-aggregation of D + D*D sums over all documents, and only step vectors (D
-numbers each) go back.
-
-Tokens are words between white space.
+counts in part for several.  Document rates r >= 0 are then fitted by projected
+gradient descent on the squared distance between the expected shares of the
+domains among all tokens, sum_i t_i r_i p_i / sum_i t_i, and the targets.
+
+Distances between rates are weighted by tokens, so a step along the gradient is
+r_i <- max(0, r_i - step * p_i . m), m being the misses of the shares.  A rate
+is a function of p_i and the few vectors step * m: iterations keep no state,
+each is one aggregation over all documents of D + 1 sums for each of a few step
+lengths, and only these sums go to the driver.  Step lengths are those of
+Barzilai and Borwein; the longest one tried that lowers the distance enough is
+taken (the least one tried always does).  Descent ends at the targets or, where
+they cannot be met, by the least squares point: where LATELY steps no longer
+lower the squared distance by a thousandth.  `miss` is the largest distance that
+is left.  Should neither be reached in MAX_STEPS, it is an error.
+
+Rates have no upper bound.  The classifier's size is fixed: with more domains
+words share more buckets; more than MAX_DOMAINS are an error.  Tokens are words
+between white space.
 
 Defined cases: null and empty texts have no tokens, even posteriors and rate 1;
-without labelled rows there is one domain and all rates are equal; targets of
-domains that were never labelled are left out and the rest rescaled; repeated
-rows have equal rates; other columns are kept by `mixed` and play no part.
+without labelled rows there is one domain and all rates are 1; targets of
+domains that were never labelled are left out and the rest rescaled, domains
+without a target have target 0; repeated rows have equal rates; an empty table
+has a miss of 0; other columns are kept by `mixed` and play no part.
 """
 
 from __future__ import annotations
@@ -25,71 +34,87 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import ASCII_SPACE, LOWER, NOT_WORD, block_views, free_name, lean, span_hashes, stored, words
+from .common import ASCII_SPACE, LOWER, NOT_WORD, block_views, discard, free_name, lean, span_hashes, stored, words
 
+#: log2 of the word buckets, with up to 2**6 domains; half as many for twice as
+#: many domains.
 BITS = 16
-#: Labelled rows that the classifier is fitted on, at most.
+#: Labelled rows that the classifier is fitted on, at most: equally many of each
+#: domain, and one of each at least.
 MAX_ROWS = 4000
-#: Distinct domains, at most.
-MAX_DOMAINS = 64
-#: A document's evidence counts as that of so many words at most.
+#: Distinct domains; more are an error.
+MAX_DOMAINS = 4096
+#: Words of a text are not independent: its evidence, a mean over its words, is
+#: weighted as that of so many independent ones (or as many as it has).
 EVIDENCE = 8
-STEPS = 16
-#: Largest rate: no document stands more often than this in the mixture.
-MAX_RATE = 8.0
+#: Steps without an end are an error; those that must lower the distance.
+MAX_STEPS, LATELY = 400, 40
 #: Largest distance from a target, as a share of all tokens, at which steps end.
 CLOSE = 1e-5
 
 
 class Domains(NamedTuple):
     names: tuple[str, ...]
-    #: log P(word bucket | domain), (D, 2**BITS), and log P(domain).
+    #: log P(word bucket | domain), (D, buckets), and log P(domain).
     word: np.ndarray
     prior: np.ndarray
 
 
-def _word_buckets(data, offsets):
+def _word_buckets(data, offsets, buckets: int):
     low = LOWER[data]
     s, e, bounds = words(low, offsets, NOT_WORD)
-    return (span_hashes(low, s, e) >> np.uint64(64 - BITS)).astype(np.int64), bounds
+    return (span_hashes(low, s, e) >> np.uint64(65 - buckets.bit_length())).astype(np.int64), bounds
+
+
+def _sample(labelled: DataFrame, max_rows: int) -> tuple[DataFrame, dict[str, int]]:
+    """((_id, domain) of the sample, labelled rows of each domain)."""
+    rows = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.col("domain").cast("string")).alias("domain"))
+    rows = stored(rows, "labelled")
+    sizes = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.domain: r.n for r in sizes.limit(MAX_DOMAINS + 1).collect()}
+    if len(counts) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    each = max(max_rows // max(len(counts), 1), 1)
+    # Rows of small hash alone are ranked: about twice as many as are wanted.
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    few = rows.join(F.broadcast(sizes), "domain").where(place * F.col("n") < 2 * each + 20)
+    rank = F.row_number().over(Window.partitionBy("domain").orderBy(place, "_id"))
+    return stored(few.withColumn("rank", rank).where(F.col("rank") <= each).select("_id", "domain"), "chosen"), counts
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS) -> Domains:
     """Naive Bayes over words from `labelled` (doc_id, domain)."""
-    chosen = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.col("domain").cast("string")).alias("domain"))
-    chosen = stored(chosen.orderBy(F.xxhash64("_id"), "_id").limit(max_rows), "chosen")
-    names = sorted(r.domain for r in chosen.select("domain").distinct().orderBy("domain").limit(MAX_DOMAINS).collect()) or ["all"]
+    chosen, counts = _sample(labelled, max_rows)
+    names = sorted(counts) or ["all"]
     number = {n: i for i, n in enumerate(names)}
-    size = 1 << BITS
+    size = 1 << BITS - max(0, (len(names) - 1).bit_length() - 6)
 
     def count(batches):
-        table, rows = np.zeros((len(names), size)), np.zeros(len(names))
+        table = np.zeros((len(names), size))
         for batch in batches:
-            d = np.array([number.get(x, -1) for x in batch.column("domain").to_pylist()])
+            d = np.array([number[x] for x in batch.column("domain").to_pylist()], np.int64)
             for i, j, data, offsets in block_views(batch.column("text")):
-                w, bounds = _word_buckets(data, offsets)
-                own = np.repeat(d[i:j], np.diff(bounds))
-                np.add.at(table, (own[own >= 0], w[own >= 0]), 1)
-            rows += np.bincount(d[d >= 0], minlength=len(names))
+                w, bounds = _word_buckets(data, offsets, size)
+                np.add.at(table, (np.repeat(d[i:j], np.diff(bounds)), w), 1)
         k, b = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, range(len(names)))), pa.array(np.append(b, [-1] * len(names))), pa.array(np.append(table[k, b], rows))], names=["k", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(table[k, b])], names=["k", "b", "n"])
 
     rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id").select("domain", "text")
     got = rows.mapInArrow(count, "k long, b long, n double").groupBy("k", "b").agg(F.sum("n").alias("n")).toArrow()
     k, b, n = (got.column(c).to_numpy() for c in ("k", "b", "n"))
-    table, prior = np.full((len(names), size), 0.1), np.ones(len(names))
-    np.add.at(table, (k[b >= 0], b[b >= 0]), n[b >= 0])
-    np.add.at(prior, k[b < 0], n[b < 0])
+    table = np.full((len(names), size), 0.1)
+    np.add.at(table, (k, b), n)
+    prior = np.array([counts.get(n, 0) + 1.0 for n in names])
     return Domains(tuple(names), np.log(table / table.sum(1, keepdims=True)).astype(np.float32), np.log(prior / prior.sum()))
 
 
 def posteriors(domains: Domains, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, posteriors) of each text of a block."""
-    w, bounds = _word_buckets(data, offsets)
+    w, bounds = _word_buckets(data, offsets, domains.word.shape[1])
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
     total = np.stack([np.bincount(doc, row[w], minlength=len(n)) for row in domains.word], 1)
@@ -99,59 +124,61 @@ def posteriors(domains: Domains, data: np.ndarray, offsets: np.ndarray) -> tuple
     return np.diff(tokens), p / p.sum(1, keepdims=True)
 
 
-def rates(t: np.ndarray, p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    r = np.ones(len(t))
+def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    r = np.ones(len(p))
     for m in steps:
-        r = np.clip(r - t * (p @ m), 0.0, MAX_RATE)
+        r = np.maximum(r - p @ m, 0.0)
     return r
 
 
-def fit_steps(memberships: DataFrame, weights: np.ndarray) -> list[np.ndarray]:
-    """Step vectors of the projected gradient; `memberships` has t and p."""
+def fit_steps(memberships: DataFrame, weights: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """(step vectors, largest miss); `memberships` has t and p."""
     d = len(weights)
+    total = memberships.agg(F.sum("t")).first()[0] or 0
+    if total <= 0:
+        return [], 0.0
+
+    def sums(steps, trials):
+        """(shares, squared length of the step) after each of the trial steps."""
 
-    def sums(steps):
         def run(batches):
-            s, gram = np.zeros(d), np.zeros((d, d))
+            out = np.zeros((len(trials), d + 1))
             for batch in batches:
-                t = batch.column("t").to_numpy().astype(float)
-                p = batch.column("p").combine_chunks() if isinstance(batch.column("p"), pa.ChunkedArray) else batch.column("p")
-                p = p.flatten().to_numpy().reshape(-1, d)
-                r = rates(t, p, steps)
-                s += p.T @ (t * r)
-                free = (r > 0) & (r < MAX_RATE)
-                a = p[free] * t[free][:, None]
-                gram += a.T @ a
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + d * d)), pa.array(np.concatenate([s, gram.ravel()]))], names=["i", "x"])
-
-        rows = memberships.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(d + d * d)
-        for row in rows:  # D + D*D numbers
+                t = batch.column("t").to_numpy().astype(float) / total
+                p = batch.column("p").flatten().to_numpy().reshape(-1, d)
+                r = rates(p, steps)
+                for k, m in enumerate(trials):
+                    new = np.maximum(r - p @ m, 0.0)
+                    out[k, :d] += p.T @ (t * new)
+                    out[k, d] += (t * (new - r) ** 2).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], names=["i", "x"])
+
+        out = np.zeros(len(trials) * (d + 1))
+        for row in memberships.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
             out[row.i] = row.x
-        return out[:d], out[d:].reshape(d, d)
+        return [(x[:d], x[d]) for x in out.reshape(-1, d + 1)]
 
     steps: list[np.ndarray] = []
-    s, gram = sums(steps)
-    total = s.sum()
-    if total <= 0:
-        return steps
-    target, miss, scale = weights * total, np.inf, 1.0
-    while len(steps) < STEPS:
-        now = np.abs(s - target).max() / total
-        if now <= CLOSE:
+    ((share, _),) = sums(steps, [np.zeros(d)])
+    length, past = 1.0, []
+    while (miss := np.abs(share - weights).max()) > CLOSE:
+        if len(steps) == MAX_STEPS:
+            raise RuntimeError(f"rates do not settle: a share is {miss:.6f} off after {MAX_STEPS} steps")
+        past.append(((share - weights) ** 2).sum() / 2)
+        if len(past) > LATELY and min(past[-LATELY:]) > 0.999 * min(past[:-LATELY]):
             break
-        if now >= miss and steps:  # a step too long: take it back and halve
-            steps.pop()
-            scale /= 2
-            s, gram = kept
-            if scale < 1 / 16:
+        # A unit step is short enough always: token shares sum to 1 and
+        # posteriors are at most unit long.
+        tried = sorted({max(length / k, 1.0) for k in (1, 4, 16)} | {1.0}, reverse=True)
+        found = sums(steps, [x * (share - weights) for x in tried])
+        for x, (new, moved) in zip(tried, found):
+            if ((new - weights) ** 2).sum() / 2 <= max(past[-5:]) - 1e-4 / x * moved or x == 1.0:
                 break
-        else:
-            miss, kept = now, (s, gram)
-        ridge = 1e-9 * np.trace(gram) / d + 1e-12
-        steps.append(scale * np.linalg.solve(gram + ridge * np.eye(d), s - target))
-        s, gram = sums(steps)
-    return steps
+        steps.append(x * (share - weights))
+        changed = ((new - share) ** 2).sum()
+        length = min(moved / changed, 1e6) if changed > 0 else 1.0
+        share = new
+    return steps, float(miss)
 
 
 def target_weights(domains: Domains, targets: dict[str, float]) -> np.ndarray:
@@ -159,7 +186,8 @@ def target_weights(domains: Domains, targets: dict[str, float]) -> np.ndarray:
     return w / w.sum() if w.sum() else np.full(len(w), 1 / len(w))
 
 
-def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> tuple[Domains, list[np.ndarray]]:
+def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> tuple[Domains, list[np.ndarray], float]:
+    """(domains, step vectors, largest miss of a target)."""
     domains = fit_domains(docs, labelled)
     sent = docs.sparkSession.sparkContext.broadcast(domains)
 
@@ -171,7 +199,9 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float])
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.ListArray.from_arrays(pa.array(np.arange(0, len(p) * d + 1, d, dtype=np.int32)), pa.array(p.ravel()))], names=["t", "p"])
 
     memberships = stored(docs.select("text").mapInArrow(lean(run), "t long, p array<double>"), "memberships")
-    return domains, fit_steps(memberships, target_weights(domains, targets))
+    fitted = fit_steps(memberships, target_weights(domains, targets))
+    discard(memberships)
+    return domains, *fitted
 
 
 def mixed_names(docs: DataFrame) -> tuple[str, str, str]:
@@ -193,30 +223,32 @@ def mixed(docs: DataFrame, domains: Domains, steps: list[np.ndarray]) -> DataFra
                 d = p.shape[1]
                 post = pa.ListArray.from_arrays(pa.array(np.arange(0, len(p) * d + 1, d, dtype=np.int32)), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(i, j - i) for c in fields), pa.array(t), post, pa.array(rates(t.astype(float), p, vectors))], names=[*fields, *names]
+                    [*(batch.column(c).slice(i, j - i) for c in fields), pa.array(t), post, pa.array(np.where(t > 0, rates(p, vectors), 1.0))], names=[*fields, *names]
                 )
 
     schema = StructType([*docs.schema.fields, StructField(names[0], LongType()), StructField(names[1], ArrayType(DoubleType())), StructField(names[2], DoubleType())])
     return docs.mapInArrow(lean(run), schema)
 
 
-def copies(rate, key, seed: int = 8):
+def copies(rate, *key, seed: int = 8):
     """Whole copies whose expectation over keys is the rate."""
-    share = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (F.floor(rate) + (share < rate - F.floor(rate)).cast("long")).cast("long")
 
 
 def mixture_report(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """doc_id, n_tokens, domain (likeliest), posteriors, rate and copies."""
+    """doc_id, n_tokens, domain (likeliest), posteriors (by domain), rate, copies
+    and the fit's miss."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    domains, steps = fit_mixture(rows, labelled, targets)
+    domains, steps, miss = fit_mixture(rows, labelled, targets)
     out = mixed(rows, domains, steps)
-    top = F.element_at(F.array(*map(F.lit, domains.names)), F.array_position("_posteriors", F.array_max("_posteriors")).cast("int"))
+    names = F.array(*map(F.lit, domains.names))
     return out.select(
         "doc_id",
         F.col("_tokens").alias("n_tokens"),
-        top.alias("domain"),
-        *[F.get("_posteriors", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(domains.names)],
+        F.element_at(names, F.array_position("_posteriors", F.array_max("_posteriors")).cast("int")).alias("domain"),
+        F.map_from_arrays(names, "_posteriors").alias("posteriors"),
         F.col("_rate").alias("rate"),
-        copies(F.col("_rate"), F.col("doc_id")).alias("copies"),
+        copies(F.col("_rate"), "doc_id", "text").alias("copies"),
+        F.lit(miss).alias("miss"),
     )

@@ -61,10 +61,11 @@ def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents at the rates that mix domains to TARGETS: each is left out,
-    kept or repeated so that its expected copies are its rate."""
-    domains, steps = fit_mixture(docs, labelled_domains(docs, read(spark, sf_dir, "labels")), TARGETS)
+    kept or repeated so that its expected copies are its rate.  Rows with the
+    same doc_id and text are treated alike."""
+    domains, steps, _ = fit_mixture(docs, labelled_domains(docs, read(spark, sf_dir, "labels")), TARGETS)
     rows, (_, _, rate) = mixed(docs, domains, steps), mixed_names(docs)
-    times = F.array_repeat(F.lit(1), copies(F.col(rate), F.col("doc_id")).cast("int"))
+    times = F.array_repeat(F.lit(1), copies(F.col(rate), "doc_id", "text").cast("int"))
     return rows.select(*docs.columns, F.explode(times).alias(free_name(docs, "_copy"))).select(*docs.columns)
 
 

@@ -76,30 +76,80 @@ def test_dual_coordinate_descent_separates():
 
 def test_op8(spark, run):
     got = run("op8_mixing", MID)
-    names = [c for c in got.columns if c.startswith("p_")]
-    total = got.n_tokens.sum()
-    assert np.allclose(got[names].sum(axis=1), 1) and (got.rate >= 0).all()
-    shares = {c[2:]: (got.n_tokens * got.rate * got[c]).sum() / total for c in names}
-    assert all(abs(shares[k] - v) < 1e-4 for k, v in {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}.items())
+    names = sorted(got.posteriors[0])
+    post = got.posteriors.map(lambda x: [x[n] for n in names]).tolist()
+    total, post = got.n_tokens.sum(), np.array(post)
+    assert np.allclose(post.sum(axis=1), 1) and (got.rate >= 0).all()
+    shares = dict(zip(names, (got.n_tokens * got.rate).to_numpy() @ post / total))
+    want = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+    assert all(abs(shares[k] - v) < 1e-4 for k, v in want.items())
+    assert (got.miss < 1e-4).all() and abs(max(abs(shares[k] - v) for k, v in want.items()) - got.miss[0]) < 1e-6
     assert abs((got.copies * got.n_tokens).sum() / (got.rate * got.n_tokens).sum() - 1) < 0.1
     lang = spark.read.parquet(f"{MID}/documents.parquet").select("doc_id", "lang").toPandas()
     assert (got.merge(lang, on="doc_id").eval("domain == lang")).mean() > 0.97
 
 
-def test_op8_steps_reach_the_least_squares_point(spark):
+def memberships(spark, t, p):
+    return spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p)], "t long, p array<double>")
+
+
+def shares_after(t, p, steps):
+    return p.T @ (t * mixing.rates(p, steps)) / t.sum()
+
+
+def least_squares(t, p, w, steps=60_000):
+    """Nonnegative least squares by plain projected gradient, one by one."""
+    r, t = np.ones(len(t)), t / t.sum()
+    for _ in range(steps):
+        r = np.maximum(r - p @ (p.T @ (t * r) - w), 0)
+    return p.T @ (t * r)
+
+
+def test_op8_steps_reach_the_targets(spark):
     rng = np.random.default_rng(1)
     t, p = rng.integers(1, 50, 400).astype(float), rng.dirichlet([0.3, 0.3, 0.3], 400)
-    df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p)], "t long, p array<double>")
     w = np.array([0.7, 0.2, 0.1])
-    r = mixing.rates(t, p, mixing.fit_steps(df, w))
-    assert (r >= 0).all() and np.abs(p.T @ (t * r) / t.sum() - w).max() < 1e-4
+    steps, miss = mixing.fit_steps(memberships(spark, t, p), w)
+    assert (mixing.rates(p, steps) >= 0).all() and abs(np.abs(shares_after(t, p, steps) - w).max() - miss) < 1e-9 and miss <= mixing.CLOSE
+    # A domain with 2 % of the tokens and target 0.5: its rates are 25 and over.
+    one = np.array([0] * 980 + [1] * 20)
+    p = 0.96 * np.eye(2)[one] + 0.02
+    steps, miss = mixing.fit_steps(memberships(spark, np.full(1000, 7.0), p), np.array([0.5, 0.5]))
+    assert miss <= 1e-4 and mixing.rates(p, steps).max() > 20
+    # 100 domains.
+    t, p = rng.integers(1, 90, 3000).astype(float), 0.9 * np.eye(100)[rng.integers(0, 100, 3000)] + 0.001
+    w = rng.dirichlet(np.full(100, 3.0))
+    steps, miss = mixing.fit_steps(memberships(spark, t, p), w)
+    assert miss <= 1e-4 and np.abs(shares_after(t, p, steps) - w).max() <= 1e-4
+
+
+def test_op8_targets_out_of_reach(spark):
+    """Every document is half of the first domain: the least squares point."""
+    rng = np.random.default_rng(3)
+    t, q = rng.integers(1, 50, 200).astype(float), rng.dirichlet([0.5, 0.5], 200)
+    p = np.column_stack([np.full(200, 0.5), q / 2])
+    w = np.array([0.0, 0.9, 0.1])
+    steps, miss = mixing.fit_steps(memberships(spark, t, p), w)
+    want = least_squares(t, p, w)
+    assert np.abs(shares_after(t, p, steps) - want).max() < 0.01 and abs(miss - np.abs(want - w).max()) < 0.01 and miss > 0.1
+
+
+def test_op8_many_domains(spark):
+    """No domain is left out; the sample has rows of each."""
+    rows = [(i, " ".join(f"d{i % 100}w{(i * 7 + k) % 9}" for k in range(12)), f"dom{i % 100:03}") for i in range(1500)]
+    rows += [(5000 + i, "d0w1 d0w2 d0w3", "dom000") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    got = mixing.mixture_report(df, df.select("doc_id", "domain"), {f"dom{i:03}": 1 + i % 3 for i in range(100)}).toPandas()
+    assert len(got.posteriors[0]) == 100 and (got.miss <= 1e-4).all()
+    assert (got.merge(df.select("doc_id", "domain").toPandas(), on="doc_id").eval("domain_x == domain_y")).mean() > 0.95
 
 
 def test_op8_edges(spark, edge, empty):
     labelled = edge.select("doc_id", F.col("lang").alias("domain"))
     got = mixing.mixture_report(edge, labelled, {"en": 1.0, "de": 1.0}).collect()
     assert len(got) == edge.count() and all(r.rate == 1.0 for r in got if r.n_tokens == 0)
-    assert len(mixing.mixture_report(edge, labelled.limit(0), {"en": 1.0}).collect()) == edge.count()
+    got = mixing.mixture_report(edge, labelled.limit(0), {"en": 1.0}).collect()
+    assert len(got) == edge.count() and {r.rate for r in got} == {1.0}
     assert mixing.mixture_report(empty, labelled.limit(0), {}).count() == 0
 
 
