@@ -9,8 +9,13 @@ smallest hashes of both together, the share that both have.
 `neighbour_likeness` compares each document with its successor by doc_id and
 with itself under an edit that takes text from the successor.  Documents are
 dealt once, by ranges of doc_id; the first of each range is also sent to the
-range before it, so no task needs another's rows.  The edited text's parse goes
-on from the state that the shared first part left.
+range before it, so no task needs another's rows.  An id that fills several
+ranges is split by the first characters of its texts.  A task goes through its
+range in order and holds two documents.  The edited text's parse goes on from
+the state that the shared first part left.
+
+The driver holds two numbers for each range, of which there are MAX_RANGES at
+most; beyond that ranges grow, not the tasks' memory.
 
 Defined cases: null text counts as empty; an empty text has the empty
 fingerprint, like only another empty one (1.0, else 0.0); equal ids are ordered
@@ -20,6 +25,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -30,8 +36,10 @@ from pyspark.sql import functions as F
 from .common import span_hashes
 
 K = 128
-#: Text bytes in one range, about.
-RANGE_BYTES = 4 << 20
+#: Text bytes in one range, about; and ranges at most (500 MB each at 100 TB).
+RANGE_BYTES, MAX_RANGES = 4 << 20, 200_000
+#: Characters of a text that tell rows of one doc_id apart in ranges.
+PREFIX = 32
 
 
 def parse_on(raw: bytes, start: int, at: int, phrases: set, ends: list) -> int:
@@ -117,36 +125,65 @@ _ARROW = pa.schema(
 )
 
 
-def id_ranges(docs: DataFrame, range_bytes: int):
-    """Upper ends of ranges of `_key` that hold about `range_bytes` of text."""
+def id_ranges(docs: DataFrame, range_bytes: int) -> tuple[np.ndarray, dict[int, list[str]]]:
+    """(ends, splits): upper ends of ranges of `_key` that hold about
+    `range_bytes` of text, a key that fills m of them standing m times; and for
+    such keys the m - 1 prefixes of texts between their ranges."""
     total, n = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    parts = int(min(max((total or 0) // range_bytes, 1), 20_000, max(n, 1)))
+    parts = int(min(max((total or 0) // range_bytes, 1), MAX_RANGES, max(n, 1)))
     if parts < 2:
-        return np.zeros(0, np.int64)
-    shares = [i / parts for i in range(1, parts)]
-    cut = docs.agg(F.percentile_approx("_key", F.array(*map(F.lit, shares)), F.lit(20 * parts))).first()[0]
-    return np.unique(np.array(cut, np.int64))
+        return np.zeros(0, np.int64), {}
+    shares = F.split(F.lit(",".join(f"{i / parts:.9f}" for i in range(1, parts))), ",").cast("array<double>")
+    cut = docs.agg(F.percentile_approx("_key", shares, F.lit(4 * parts))).first()[0]
+    ends = np.sort(np.array(cut, np.int64))
+    keys, times = np.unique(ends, return_counts=True)
+    many = {int(k): int(m) for k, m in zip(keys[times > 1], times[times > 1])}
+    if not many:
+        return ends, {}
+    # About 50 texts for each of the ranges such keys fill; equal texts together.
+    rows = docs.where(F.col("_key").isin(list(many))).select("_key", F.substring("text", 1, PREFIX).alias("prefix"), F.xxhash64("text").alias("h"))
+    keep = min(50 * sum(many.values()) / max(n * sum(many.values()) / parts, 1), 1.0)
+    found: dict[int, list[str]] = {k: [] for k in many}
+    for r in rows.where(F.pmod("h", F.lit(1 << 30)) <= int(keep * (1 << 30))).select("_key", "prefix").collect():
+        found[r[0]].append(r[1])
+    return ends, {k: sorted(x)[len(x) // m :: max(len(x) // m, 1)][: m - 1] for (k, x), m in zip(found.items(), many.values())}
 
 
 def neighbour_likeness(docs: DataFrame, k: int = K, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """SCHEMA for every document; the successor of the last is the first."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    ends = id_ranges(docs.select("_key", "text"), range_bytes)
+    ends, splits = id_ranges(docs.select("_key", "text"), range_bytes)
+
+    @F.pandas_udf("int")
+    def range_of(key, prefix):
+        import pandas as pd
+
+        keys = key.to_numpy()
+        slot = np.searchsorted(ends, keys, side="left").astype(np.int32)
+        for x, between in splits.items():
+            for i in np.flatnonzero(keys == x).tolist():
+                slot[i] += bisect.bisect_right(between, prefix[i])
+        return pd.Series(slot)
+
+    docs = docs.withColumn("slot", range_of("_key", F.substring("text", 1, PREFIX))) if len(ends) else docs.withColumn("slot", F.lit(0))
+    first = F.struct("_key", F.substring("text", 1, PREFIX).alias("prefix"))
+    # One row for each range.
+    heads = sorted((r.slot, r.f["_key"], r.f["prefix"]) for r in docs.groupBy("slot").agg(F.min(first).alias("f")).collect())
+    slots, head_keys, prefixes = (list(x) for x in zip(*heads)) if heads else ([], [], [])
 
     @F.pandas_udf("int")
-    def range_of(key):
+    def tail_of(slot, key, prefix):
+        """The range before, of rows with the key and prefix that begin theirs."""
         import pandas as pd
 
-        return pd.Series(np.searchsorted(ends, key.to_numpy(), side="left").astype(np.int32))
+        at = np.searchsorted(np.array(slots), slot.to_numpy())
+        head = np.array(head_keys, np.int64)[at] == key.to_numpy()
+        before = np.array([slots[-1], *slots[:-1]], np.int64)[at]
+        return pd.Series([b if h and prefixes[i] == p else None for h, b, i, p in zip(head.tolist(), before.tolist(), at.tolist(), prefix)], dtype="Int32")
 
-    docs = docs.withColumn("slot", range_of("_key")) if len(ends) else docs.withColumn("slot", F.lit(0))
-    # One row for each range, so this stays small.
-    heads = sorted((r.slot, r.key) for r in docs.groupBy("slot").agg(F.min("_key").alias("key")).collect())
-    before = {key: heads[i - 1][0] for i, (_, key) in enumerate(heads)}
-    pairs = [F.lit(x) for kv in before.items() for x in kv]
-    tail_of = F.create_map(*pairs)[F.col("_key")] if pairs else F.lit(None).cast("int")
-    sent = docs.withColumn("tail", tail_of).withColumn(
+    tail = tail_of("slot", "_key", F.substring("text", 1, PREFIX))
+    sent = docs.withColumn("tail", tail).withColumn(
         "to", F.explode(F.expr("filter(array(struct(slot AS slot, false AS tail), struct(tail AS slot, true AS tail)), x -> x.slot IS NOT NULL)"))
     )
     sent = sent.select("to.slot", "to.tail", "doc_id", "_key", "text")

@@ -1,12 +1,14 @@
 """Toxicity: FTRL-proximal logistic regression over hashed n-grams.
 
 Words, their stems, neighbouring pairs and pairs with one word between are
-hashed to 2**bits coordinates.  The model is fitted online, with a rate for each coordinate and
-an L1 term that leaves most weights at zero, on a bounded labelled sample.  The
-sparse weights are broadcast; every document is scored in one pass without a
+hashed to 2**bits coordinates.  The model is fitted online, with a rate for each
+coordinate and an L1 term that leaves most weights at zero, on a bounded labelled
+sample.  The weights that are not zero (a few hundred of 2**bits) are broadcast
+as pairs of index and weight; every document is scored in one pass without a
 shuffle.
 
-Defined cases: null and empty texts get the score of the bias alone; without
+Defined cases: null and empty texts get the score of the bias alone; rows without
+doc_id are scored, their `held_out` is null, and none is learnt from; without
 labelled rows every score is 0.5; repeated rows are scored alike; other columns
 play no part.
 """
@@ -18,18 +20,20 @@ from pyspark.sql import functions as F
 
 from .linear import fit_ftrl, ftrl_margins, held_out, sample_matrix, scored, skip_gram_features, training_rows
 
-BITS = 18
+BITS = 20
 #: Labelled rows that the model is fitted on, at most.
 MAX_ROWS = 10000
+#: Bytes of their texts, at most.
+MAX_BYTES = 32 << 20
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, bits: int = BITS):
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, bits: int = BITS):
     """Weights and bias; reads no row of the held-out fold."""
-    return fit_ftrl(*sample_matrix(training_rows(docs, labels, label, max_rows), skip_gram_features(bits)), bits)
+    return fit_ftrl(*sample_matrix(training_rows(docs, labels, label, max_rows, max_bytes), skip_gram_features(bits)), bits)
 
 
 def score_toxicity(docs: DataFrame, weights, bits: int = BITS, score: str = "score") -> DataFrame:
-    return scored(docs, skip_gram_features(bits), ftrl_margins, weights, weights[:-1] != 0, score=score)
+    return scored(docs, skip_gram_features(bits), ftrl_margins, weights, bits, score=score)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -4,7 +4,8 @@
 reads such a column with the wave module, takes a short-time Fourier transform
 and pairs spectral peaks.  A print is one integer: frame << 32 | low bin << 20 |
 high bin << 8 | frames between, so prints sort by time.  Both work row by row in
-Arrow batches without a shuffle.
+Arrow batches without a shuffle.  `audio_digest` writes the media column to the
+shared folder and takes everything from what it reads back.
 
 Defined cases: null text counts as empty, whose payload is one unit of padding;
 silent or constant frames have no peaks; null or unreadable media gives nulls
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, stored
+
 UNIT = 576
 RATE = 8000
 PAD = b"\xff"
@@ -34,7 +37,7 @@ PEAKS, AHEAD, PARTNERS = 2, 3, 2
 #: Frames that are transformed at once.
 FRAMES_AT_ONCE = 2048
 
-_WINDOW = np.hanning(FRAME).astype(np.float32)
+_WINDOW = np.hanning(FRAME)
 
 
 def wav_bytes(payload: bytes, rate: int = RATE) -> bytes:
@@ -54,7 +57,7 @@ def wav_samples(media: bytes) -> bytes:
 
 def spectral_peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(frame, bin) of the strongest local maxima of each frame, by frame."""
-    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
+    x = np.frombuffer(samples, np.uint8).astype(float) - 128
     if len(x) < FRAME:
         x = np.pad(x, (0, FRAME - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
@@ -110,7 +113,7 @@ def to_media(docs: DataFrame, keep: list[str], text: str = "text", unit: int = U
                     media.append(wav_bytes(raw + PAD * (-len(raw) % unit or (0 if raw else unit))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, text).mapInArrow(lean(run), schema)
 
 
 _PRINTS = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("prints", pa.list_(pa.int64()))]
@@ -140,15 +143,15 @@ def media_prints(media: DataFrame, keep: list[str]) -> DataFrame:
                 cols = [pa.array(list(c), t) for c, (_, t) in zip(zip(*rows), _PRINTS)] if rows else [pa.nulls(0, t) for _, t in _PRINTS]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols], names=[*keep, *(n for n, _ in _PRINTS)])
 
-    return media.select(*dict.fromkeys([*keep, "media"])).mapInArrow(run, schema)
+    return media.select(*dict.fromkeys([*keep, "media"])).mapInArrow(lean(run), schema)
 
 
 def audio_digest(docs: DataFrame, pairs: int = 16) -> DataFrame:
-    """One row for each document: digests of the stored form, and a feature of
-    the number of prints and the `pairs` smallest hashes of peak pairs, time
-    left out."""
+    """One row for each document: digests of the stored form, its prints
+    (time-coded, in order), and a feature of their number and the `pairs`
+    smallest hashes of peak pairs, time left out."""
     media = to_media(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ["doc_id"])
-    rows = media_prints(media, ["doc_id", "n_bytes"])
+    rows = media_prints(stored(media, "media"), ["doc_id", "n_bytes"])
     hashes = F.transform(F.array_distinct(F.transform("prints", lambda p: p.bitwiseAND(F.lit(0xFFFFFFFF)))), lambda p: F.hex(F.xxhash64(p)))
     feature = F.concat(F.size("prints").cast("string"), F.lit(":"), F.array_join(F.slice(F.array_sort(hashes), 1, pairs), ""))
-    return rows.withColumn("feature", feature).withColumn("n_prints", F.size("prints").cast("long")).drop("prints")
+    return rows.withColumn("feature", feature)

@@ -1,5 +1,6 @@
 """Classifiers, mixing and the pipeline: held-out accuracy and exact parts."""
 
+import math
 import zlib
 
 import numpy as np
@@ -13,22 +14,26 @@ from formloom.llm import op08_mixing as mixing
 from formloom.llm import op09_toxicity as toxicity
 from formloom.llm.common import NOT_WORD, words
 
-MID = "/root/testdata/sf0.01"
+MID, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def held(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
 
-@pytest.mark.parametrize("name,label,threshold,least", [("op5_quality", "quality", 0.3, 0.95), ("op9_toxicity", "toxic", 0.5, 0.93)])
-def test_held_out_accuracy(spark, run, name, label, threshold, least):
-    got = run(name, MID)
+# The bars of the rarer toxic class are lower: with this table's 3,000 rows, inner
+# folds have a recall of 0.83.
+@pytest.mark.parametrize("name,label,threshold,recall,precision", [("op5_quality", "quality", 0.3, 0.95, 0.95), ("op9_toxicity", "toxic", 0.5, 0.75, 0.9)])
+def test_held_out_recall_and_precision(spark, run, name, label, threshold, recall, precision):
+    got = run(name, LARGE)
     assert (got.held_out == got.doc_id.map(held)).all()
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= threshold).astype(int)).all()
-    marks = spark.read.parquet(f"{MID}/labels.parquet").toPandas()
+    marks = spark.read.parquet(f"{LARGE}/labels.parquet").toPandas()
     rows = got.merge(marks, on="doc_id")
     rows = rows[rows.held_out]
-    assert (rows.predicted == rows[label]).mean() >= least
+    for kind in (0, 1):
+        said, true = rows.predicted == kind, rows[label] == kind
+        assert (said & true).sum() >= (recall if kind else 0.95) * true.sum() and (said & true).sum() >= (precision if kind else 0.95) * said.sum(), kind
 
 
 @pytest.mark.parametrize("scores", [quality.quality_scores, toxicity.toxicity_scores])
@@ -44,7 +49,23 @@ def test_classifier_edges(edge, empty, labels, scores):
 def test_held_out_rows_are_not_read(spark, documents):
     marks = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     flipped = marks.withColumn("toxic", F.when(linear.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    assert (toxicity.fit_toxicity(documents, marks) == toxicity.fit_toxicity(documents, flipped)).all()
+    a, b = toxicity.fit_toxicity(documents, marks), toxicity.fit_toxicity(documents, flipped)
+    assert (a.index == b.index).all() and (a.columns == b.columns).all() and a.bias == b.bias
+
+
+def test_sample_is_bounded(spark):
+    """By rows and by bytes, a doc_id that many rows have being one row."""
+    rows = [(i % 50, f"w{i % 50} " * 100) for i in range(500)] + [(i, "z") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(3, 0)] * 9, "doc_id long, toxic int")
+    every = linear.training_rows(docs, marks, "toxic", 1000, 1 << 30).collect()
+    ids = sorted(r._id for r in every)
+    assert ids == [i for i in range(50) if not held(i)] and all(r.text in {t for d, t in rows if d == r._id} for r in every)
+    assert {r._id: r.y for r in every}[4] == 0 and len({r._id: r.y for r in every}) == len(every)
+    assert len(linear.training_rows(docs, marks, "toxic", 7, 1 << 30).collect()) == 7
+    few = linear.training_rows(docs, marks, "toxic", 1000, 1200).collect()
+    assert 0 < sum(len(r.text) for r in few) <= 1200 and {(r._id, r.text) for r in few} < {(r._id, r.text) for r in every}
+    assert len(linear.training_rows(docs.where("text <> 'z'"), marks, "toxic", 1000, 5).collect()) == 1
 
 
 def test_features_match_words():
@@ -61,17 +82,86 @@ def test_features_match_words():
     assert np.bincount(doc, minlength=4).tolist() == [4 + 3 + 2, 0, 1, 2 + 1]
 
 
-def test_dual_coordinate_descent_separates():
-    rng = np.random.default_rng(0)
-    rows = [np.unique(np.append(rng.integers(10, 500, 8), 1 if k % 2 else 2)) for k in range(200)]
-    bounds, y = np.cumsum([0, *map(len, rows)]), np.array([k % 2 for k in range(200)], float)
-    feat = np.concatenate(rows)
+def indicator_rows(n=200, seed=0):
+    rng = np.random.default_rng(seed)
+    rows = [np.unique(np.append(rng.integers(10, 500, 8), 1 if k % 2 else 2)) for k in range(n)]
+    return rows, np.cumsum([0, *map(len, rows)]), np.array([k % 2 for k in range(n)], float)
+
+
+def test_models_separate():
+    rows, bounds, y = indicator_rows()
+    feat, doc = np.concatenate(rows), linear.of_documents(bounds)
     model = linear.fit_nbsvm(bounds, feat, y, 10)
-    m = linear.nbsvm_margins(model, linear.of_documents(bounds), feat, 200)
+    m = linear.nbsvm_margins(model.dense(10), model.bias, doc, feat, 200)
     assert ((m > 0) == (y > 0.5)).mean() > 0.99
     w = linear.fit_ftrl(bounds, feat, y, 10)
-    assert (((linear.ftrl_margins(w, linear.of_documents(bounds), feat, 200)) > 0) == (y > 0.5)).mean() > 0.99
-    assert (w != 0).sum() < 100
+    assert (((linear.ftrl_margins(w.dense(10), w.bias, doc, feat, 200)) > 0) == (y > 0.5)).mean() > 0.99
+    assert len(w.index) < 100
+
+
+def test_dual_coordinate_descent_by_hand():
+    """Plain Python over dicts gives the same weights."""
+    rows, bounds, y = indicator_rows(40, 4)
+    rows[7] = rows[7][:0]
+    bounds = np.cumsum([0, *map(len, rows)])
+    got = linear.fit_nbsvm(bounds, np.concatenate(rows), y, 9, rounds=12, seed=7)
+    pos, neg = {}, {}
+    for r, label in zip(rows, y):
+        for f in r.tolist():
+            side = pos if label else neg
+            side[f] = side.get(f, 0) + 1
+    all_pos, all_neg = sum(pos.values()) + 512, sum(neg.values()) + 512
+    ratio = {f: math.log((pos.get(f, 0) + 1) / all_pos / ((neg.get(f, 0) + 1) / all_neg)) for f in pos.keys() | neg.keys()}
+    xs = []
+    for r in rows:
+        norm = math.sqrt(sum(ratio[f] ** 2 for f in r.tolist())) or 1.0
+        xs.append({f: ratio[f] / norm for f in r.tolist()})
+    w, bias, dual, order, rng = dict.fromkeys(ratio, 0.0), 0.0, [0.0] * 40, np.arange(40), np.random.default_rng(7)
+    for _ in range(12):
+        rng.shuffle(order)
+        moved = 0.0
+        for i in order.tolist():
+            sign = 1 if y[i] else -1
+            margin = sign * (sum(w[f] * v for f, v in xs[i].items()) + bias)
+            new = min(max(dual[i] + (1 - margin) / 2, 0.0), 0.3 * 0.5 / 0.5)
+            step, dual[i] = (new - dual[i]) * sign, new
+            for f, v in xs[i].items():
+                w[f] += step * v
+            bias += step
+            moved = max(moved, abs(step))
+        if moved < 1e-3:
+            break
+    dense = got.dense(9)
+    assert abs(got.bias - bias) < 1e-6
+    for f in range(512):
+        assert abs(dense[0][f] - w.get(f, 0.0)) < 1e-6 and abs(dense[1][f] - ratio.get(f, 0.0)) < 1e-6
+
+
+def test_ftrl_by_hand():
+    """Plain Python, coordinate by coordinate, gives the same weights."""
+    rows, bounds, y = indicator_rows(60, 5)
+    got = linear.fit_ftrl(bounds, np.concatenate(rows), y, 9, alpha=2.0, beta=1.0, l1=0.7, l2=1.0, rounds=3, seed=11)
+    z, n = {}, {}
+
+    def weight(c, l1):
+        if abs(z.get(c, 0.0)) <= l1:
+            return 0.0
+        return -(z[c] - math.copysign(l1, z[c])) / ((1.0 + math.sqrt(n[c])) / 2.0 + 1.0)
+
+    rng = np.random.default_rng(11)
+    for _ in range(3):
+        for i in rng.permutation(60).tolist():
+            at = [*((f, 0.7) for f in rows[i].tolist()), ("bias", 0.0)]
+            ws = {c: weight(c, l1) for c, l1 in at}
+            g = 1 / (1 + math.exp(-sum(ws.values()))) - y[i]
+            for c, _ in at:
+                old = n.get(c, 0.0)
+                n[c] = old + g * g
+                z[c] = z.get(c, 0.0) + g - (math.sqrt(n[c]) - math.sqrt(old)) / 2.0 * ws[c]
+    dense = got.dense(9)[0]
+    assert abs(got.bias - weight("bias", 0.0)) < 1e-6 and 0 < len(got.index) < 300
+    for f in range(512):
+        assert abs(dense[f] - (weight(f, 0.7) if f in z else 0.0)) < 1e-6
 
 
 def test_op8(spark, run):

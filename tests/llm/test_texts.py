@@ -365,6 +365,22 @@ def test_op6_edges(edge, empty):
     assert lz.neighbour_likeness(empty).count() == 0
 
 
+def test_op6_id_that_many_rows_share(spark):
+    """Its texts are dealt to several ranges, in order."""
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 2 else 7 if i % 3 else i, "".join(map(chr, rng.integers(97, 123, 40))) + "x" * 400) for i in range(600)] + [(None, "same " * 90)] * 50 + [(10_000 + i, "t" * i) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = df.withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    ends, splits = lz.id_ranges(keyed, 20_000)
+    assert set(splits) == {-(1 << 63), 7} and all(x == sorted(x) and len(x) >= 2 for x in splits.values()) and (ends[1:] >= ends[:-1]).all()
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for i, (d, t) in enumerate(rows):
+        nxt = rows[(i + 1) % len(rows)][1]
+        want.append((d or -1, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()))
+    assert sorted((r.doc_id or -1, r.n_chars, r.edited_sha256) for r in lz.neighbour_likeness(df, range_bytes=20_000).collect()) == sorted(want)
+
+
 def test_likeness():
     a = np.arange(10, dtype=np.uint32)
     assert lz.likeness(a, a) == 1.0 and lz.likeness(a, a[:0]) == 0.0 and lz.likeness(a[:0], a[:0]) == 1.0
@@ -402,6 +418,30 @@ def test_prints_of_tones():
     assert len(audio.peak_pairs(*audio.spectral_peaks(b"\xff" * 576))) == 0
 
 
+def test_peaks_and_pairs_by_direct_transform():
+    """Peaks of a transform by its definition, and pairs of peaks one by one."""
+    rng = np.random.default_rng(8)
+    for n in (1, 100, 576, 2000):
+        samples = rng.integers(32, 127, n).astype(np.uint8)
+        x = np.pad(samples.astype(float) - 128, (0, max(0, audio.FRAME - n)))
+        k, t = np.arange(audio.FRAME // 2 + 1)[:, None], np.arange(audio.FRAME)
+        turns = np.exp(-2j * np.pi * k * t / audio.FRAME)
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * t / (audio.FRAME - 1))
+        want = []
+        for f, lo in enumerate(range(0, len(x) - audio.FRAME + 1, audio.HOP)):
+            part = x[lo : lo + audio.FRAME]
+            power = [round(abs((row * (part - part.mean()) * window).sum()) ** 2) for row in turns]
+            tops = [b for b in range(1, len(power) - 1) if power[b] > power[b - 1] and power[b] >= power[b + 1] and power[b] > 0]
+            want += sorted((f, b) for b in sorted(tops, key=lambda b: -power[b])[: audio.PEAKS])
+        at, bins = audio.spectral_peaks(samples.tobytes())
+        assert list(zip(at.tolist(), bins.tolist())) == want
+        pairs = []
+        for i, (f, b) in enumerate(want):
+            later = [p for p in want if p[0] > f][: audio.PARTNERS]
+            pairs += [(f << 32) | (b << 20) | (c << 8) | (g - f) for g, c in later if g - f <= audio.AHEAD]
+        assert audio.peak_pairs(at, bins).tolist() == sorted(pairs)
+
+
 def test_op10_edges(spark, edge, empty):
     got = audio.audio_digest(edge).collect()
     assert len(got) == edge.count() and audio.audio_digest(empty).count() == 0

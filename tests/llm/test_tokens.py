@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from formloom.llm import op01_token_orc as orc
@@ -79,6 +80,24 @@ def test_op1_lookup(spark, documents):
     assert plain(BYTE).decode(rows.where("doc_id = 3").first().ids[:-1]) == text
 
 
+def test_op1_reads_few_rows_for_an_id(spark):
+    """Statistics and Bloom filters keep most rows from being read."""
+    path = scratch(spark, "test-prune")
+    docs = spark.range(20_000).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    orc.write_token_orc(docs.coalesce(1), path, BYTE, 2)
+
+    def read(ids):
+        rows = orc.lookup(spark, path, ids)
+        leaf = rows._jdf.queryExecution().executedPlan().collectLeaves().head()
+        out = rows._jdf.queryExecution().executedPlan().executeCollect()
+        return len(out), leaf.metrics().apply("numOutputRows").value()
+
+    found, read_rows = read([10_000])
+    assert found == 1 and read_rows <= 1000
+    assert read([10_001]) == (0, 0)  # between two ids: the Bloom filter
+    assert read([90_000]) == (0, 0)
+
+
 def check_packing(got, rows, t, capacity=2048):
     want = {}
     for d, text in rows:
