@@ -13,7 +13,14 @@ Order of the stream: a node's key has a hash for each level at which its path
 parts from other conversations, so keys stay short for long unshared
 conversations, a parent's key begins its children's, and sorting by (key, depth)
 is depth first.  Conversations are streamed in turn order; no conversation, node
-or tree is gathered, and a first turn that many share is one row.
+or tree is gathered.
+
+What moves: texts once, to their conversation, where they are encoded; ids once
+to their node's row and once into stream order; and ids once when read back.  All
+else is a few numbers for each turn.  Nodes of one conversation alone need no
+join to find their conversation; nodes that several share are joined on (node,
+salt), and those that very many share (HOT, of which there are few) by a
+broadcast, so no node is a task of its own.
 
 Defined cases: null text and role count as empty; rows of a conversation are
 ordered by turn (null first), then role and text, repeated rows being turns of
@@ -32,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, text_view
+from .common import discard, lean, scratch, stored, text_view
 from .encode import encoder
 
 #: The control strings.
@@ -71,94 +78,116 @@ def parse_turn(formatted: str) -> tuple[str, str]:
 
 # ---------------------------------------------------------------- streaming
 
+#: Stands for a null conv_id inside.
+NO_ID = -(1 << 63)
+#: Conversations that share a node which is called hot, at least; where that
+#: would make more than HOT_NODES, fewer are.
+HOT, HOT_NODES = 10_000, 500_000
+_ROWS = 2000
+
+
 def _by_conversation(rows: DataFrame, fn, schema: str, order: list[str]) -> DataFrame:
     """fn over the rows of each partition, whole conversations in order."""
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", *order).mapInArrow(fn, schema)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", *order).mapInArrow(lean(fn), schema)
 
 
-def chained(conversations: DataFrame) -> DataFrame:
-    """(conv_id, k, node, parent, role, text) of every turn."""
+def encoded_turns(conversations: DataFrame, tokenizer: str, loss_role: str) -> DataFrame:
+    """conv_id, k, node, parent, n_tokens, loss_from, loss_to and ids of every
+    turn; ids are empty where the task had the node before.  Head, body and tail
+    are encoded apart, so the mask begins and ends between ids."""
     rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv_id"),
         "turn",
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
 
     def run(batches):
+        enc, seen = encoder(tokenizer, special_text=True), set()
         now, k, node = object(), 0, b""
-        for batch in batches:
-            ks, nodes, parents = [], [], []
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
-                if conv != now:
-                    now, k, node = conv, 0, b""
-                parents.append(node or None)
-                head = role.encode()
-                node = hashlib.blake2b(node + len(head).to_bytes(4, "little") + head + text.encode(), digest_size=16).digest()
-                ks.append(k)
-                nodes.append(node)
-                k += 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), pa.array(ks, pa.int32()), pa.array(nodes, pa.binary()), pa.array(parents, pa.binary()), batch.column("role"), batch.column("text")],
-                names=["conv_id", "k", "node", "parent", "role", "text"],
-            )
-
-    return _by_conversation(rows, run, "conv_id long, k int, node binary, parent binary, role string, text string", ["turn", "role", "text"])
-
-
-def _tokens(nodes: DataFrame, tokenizer: str, loss_role: str) -> DataFrame:
-    """Ids of each node; head, body and tail are encoded apart, so the mask
-    begins and ends between ids."""
-    keep = ["node", "parent", "k", "owner", "n_convs"]
-
-    def run(batches):
-        enc = encoder(tokenizer, special_text=True)
-        for batch in batches:
-            roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
-            segments = pa.array([p for r, t in zip(roles, texts) for p in parts(r, t)], pa.large_string())
-            bounds, ids = enc.encode(*text_view(segments))
-            n = len(roles)
-            at = bounds[0::3]
-            loss = np.array([r == loss_role for r in roles], bool)
-            lo, hi = bounds[1::3] - at[:-1], bounds[2::3] - at[:-1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in keep),
-                    pa.array(np.diff(at)),
-                    pa.array(np.where(loss, lo, 0)),
-                    pa.array(np.where(loss, hi, 0)),
-                    pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)),
-                ],
-                names=[*keep, "n_tokens", "loss_from", "loss_to", "ids"],
-            )
-
-    return nodes.mapInArrow(run, "node binary, parent binary, k int, owner long, n_convs long, n_tokens long, loss_from long, loss_to long, ids array<int>")
+        for whole in batches:
+            for first in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(first, _ROWS)
+                convs, roles, texts = (batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))
+                ks, nodes, parents, fresh = [], [], [], []
+                for conv, role, text in zip(convs, roles, texts):
+                    if conv != now:
+                        now, k, node = conv, 0, b""
+                    parents.append(node or None)
+                    head = role.encode()
+                    node = hashlib.blake2b(node + len(head).to_bytes(4, "little") + head + text.encode(), digest_size=16).digest()
+                    fresh.append(node not in seen)
+                    seen.add(node)
+                    ks.append(k)
+                    nodes.append(node)
+                    k += 1
+                bounds, ids = enc.encode(*text_view(pa.array([p for r, t in zip(roles, texts) for p in parts(r, t)], pa.large_string())))
+                at, new = bounds[0::3], np.array(fresh, bool)
+                size = np.diff(at)
+                loss = np.array([r == loss_role for r in roles], bool)
+                kept = np.concatenate([[0], np.cumsum(np.where(new, size, 0))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("conv_id"),
+                        pa.array(ks, pa.int32()),
+                        pa.array(nodes, pa.binary()),
+                        pa.array(parents, pa.binary()),
+                        pa.array(size),
+                        pa.array(np.where(loss, bounds[1::3] - at[:-1], 0)),
+                        pa.array(np.where(loss, bounds[2::3] - at[:-1], 0)),
+                        pa.ListArray.from_arrays(pa.array(kept), pa.array(ids[np.repeat(new, size)])),
+                    ],
+                    names=["conv_id", "k", "node", "parent", "n_tokens", "loss_from", "loss_to", "ids"],
+                )
+
+    schema = "conv_id long, k int, node binary, parent binary, n_tokens long, loss_from long, loss_to long, ids array<int>"
+    return _by_conversation(rows, run, schema, ["turn", "role", "text"])
+
+
+def _marked(turns: DataFrame, shared: DataFrame, hot: int) -> DataFrame:
+    """Turns with the owner (the smallest conv_id that has the node) and the
+    number of conversations of their node."""
+    few = F.broadcast(shared.where(F.col("n_convs") >= hot))
+    rest = shared.where(F.col("n_convs") < hot)
+    rows = turns.join(few, "node").unionByName(turns.join(few, "node", "left_anti").join(rest, "node", "left"), allowMissingColumns=True)
+    return rows.withColumn("owner", F.coalesce("owner", "conv_id")).withColumn("n_convs", F.coalesce("n_convs", F.lit(1)))
+
+
+def _to_conversations(paths: DataFrame, nodes: DataFrame, hot: int) -> DataFrame:
+    """Each shared node's row for each conversation that has it.  `paths` has
+    conv_id, k, node and n_convs, `nodes` node and n_convs among others."""
+    salts = F.ceil(F.col("n_convs") / hot)
+    many = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("n_convs")
+    return paths.withColumn("salt", F.pmod(F.xxhash64("conv_id"), salts)).join(many, ["node", "salt"]).drop("salt")
 
 
 def _keys(rows: DataFrame) -> DataFrame:
     """Order key and first position of each node, from its owner's path."""
+    names = ["conv_id", "k", "node", "n_tokens", "n_convs"]
 
     def run(batches):
         now = object()
         for batch in batches:
-            out = [[], [], []]
-            for conv, node, owner, convs, n in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "node", "owner", "n_convs", "n_tokens"))):
+            own, keys, positions = [], [], []
+            for i, (conv, node, owner, convs, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("conv_id", "node", "owner", "n_convs", "n_tokens")))):
                 if conv != now:
                     now, key, pos, last = conv, b"", 0, None
                 if convs != last:
                     key, last = key + node[:8], convs
                 if owner == conv:
-                    for c, x in zip(out, (node, key, pos)):
-                        c.append(x)
+                    own.append(i)
+                    keys.append(key)
+                    positions.append(pos)
                 pos += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.int64()))], names=["node", "key", "position"])
+            kept = batch.take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array(keys, pa.binary()), pa.array(positions, pa.int64())], names=[*names, "key", "position"])
 
-    return _by_conversation(rows, run, "node binary, key binary, position long", ["k"])
+    return _by_conversation(rows, run, "conv_id long, k int, node binary, n_tokens long, n_convs long, key binary, position long", ["k"])
 
 
 def _laid_out(nodes: DataFrame) -> DataFrame:
-    """Nodes with `start`, their offset in the stream."""
-    fields = nodes.columns
+    """Nodes (without their ids) with `start`, their offset in the stream."""
+    fields = [c for c in nodes.columns if c != "key"]
 
     def run(batches):
         part, start = TaskContext.get().partitionId(), 0
@@ -172,7 +201,7 @@ def _laid_out(nodes: DataFrame) -> DataFrame:
 
     types = {f.name: f.dataType.simpleString() for f in nodes.schema}
     schema = ", ".join(f"{c} {types[c]}" for c in fields) + ", part int, part_start long"
-    rows = stored(nodes.repartitionByRange("key", "k").sortWithinPartitions("key", "k").mapInArrow(run, schema), "layout")
+    rows = stored(nodes.repartitionByRange("key", "k").sortWithinPartitions("key", "k").mapInArrow(lean(run), schema), "layout")
     # One row for each partition, so the window over all of them is small.
     base = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = base.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -207,35 +236,35 @@ def _intervals(rows: DataFrame) -> DataFrame:
 def write_chat_tree(conversations: DataFrame, path: str, tokenizer: str, loss_role: str = "assistant") -> None:
     """Write `path`/nodes (in stream order by `start`) and `path`/paths, the
     nodes of each conversation."""
-    turns = stored(chained(conversations), "turns")
-    paths = turns.select("conv_id", "k", "node")
-    # conv_id null is a conversation too; its owner mark must compare equal.
-    owner = F.min(F.coalesce("conv_id", F.lit(-(1 << 63)))).alias("owner")
-    nodes = turns.groupBy("node").agg(F.first("parent").alias("parent"), F.first("k").alias("k"), F.first("role").alias("role"), F.first("text").alias("text"), owner, F.count(F.lit(1)).alias("n_convs"))
-    tokens = stored(_tokens(nodes, tokenizer, loss_role), "tokens")
-    named = paths.withColumn("conv_id", F.coalesce("conv_id", F.lit(-(1 << 63))))
-    keys = _keys(named.join(tokens.select("node", "owner", "n_convs", "n_tokens"), "node").select("conv_id", "k", "node", "owner", "n_convs", "n_tokens"))
-    layout = stored(_laid_out(tokens.join(keys, "node")), "nodes")
-    spans = _intervals(named.join(layout.select("node", "owner", "start", "n_tokens"), "node").select("conv_id", "k", "node", "owner", "start", "n_tokens"))
-    out = layout.join(spans, "node").select("tree", "node", "parent", F.col("k").alias("depth"), "start", "position", "n_tokens", "ids", "loss_from", "loss_to", "attend")
-    out.write.parquet(f"{path}/nodes")
-    paths.write.parquet(f"{path}/paths")
-
-
-def read_conversations(spark, path: str, tokenizer: str) -> DataFrame:
-    """(conv_id, k, formatted, loss) of every turn, decoded from the ids."""
-    nodes = spark.read.parquet(f"{path}/nodes").select("node", "ids", "loss_from", "loss_to")
-
-    def run(batches):
-        tok = encoder(tokenizer, special_text=True).tokenizer
-        for batch in batches:
-            ids, lo, hi = (batch.column(c).to_pylist() for c in ("ids", "loss_from", "loss_to"))
-            whole = tok.decode_batch(ids, skip_special_tokens=False)
-            loss = tok.decode_batch([x[a:b] for x, a, b in zip(ids, lo, hi)], skip_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(whole, pa.string()), pa.array(loss, pa.string())], names=["node", "formatted", "loss"])
-
-    texts = nodes.mapInArrow(run, "node binary, formatted string, loss string")
-    return spark.read.parquet(f"{path}/paths").join(texts, "node").select("conv_id", "k", "formatted", "loss")
+    turns = stored(encoded_turns(conversations, tokenizer, loss_role), "turns")
+    steps = turns.select("conv_id", "k", "node", "n_tokens")
+    hot = max(HOT, turns.count() // HOT_NODES)
+    shared = turns.groupBy("node").agg(F.min("conv_id").alias("owner"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 1")
+    shared = stored(shared, "shared")
+    layout = _laid_out(_keys(_marked(steps, shared, hot)))
+    # Stream offsets go back to each conversation that has the node.
+    several = _marked(steps.join(shared.select("node"), "node", "left_semi"), shared, hot) if not shared.isEmpty() else None
+    alone = layout.where("n_convs = 1").select("conv_id", "k", "node", F.col("conv_id").alias("owner"), "start", "n_tokens")
+    if several is not None:
+        found = _to_conversations(several.drop("n_tokens"), layout.where("n_convs > 1").select("node", "n_convs", "start", "n_tokens"), hot)
+        alone = alone.unionByName(found.select(*alone.columns))
+    spans = _intervals(alone)
+    rows = layout.join(spans, "node").withColumnRenamed("k", "depth")
+    out = rows.join(turns.where(F.size("ids") > 0).drop("k", "n_tokens"), ["node", "conv_id"])
+    out = out.select("tree", "node", "parent", "depth", "start", "position", "n_tokens", "ids", "loss_from", "loss_to", "attend", F.col("conv_id").alias("owner"), "n_convs")
+    out.repartitionByRange("start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/nodes")
+    paths = steps.select("conv_id", "k", "node").join(shared.select("node", "n_convs"), "node", "left")
+    paths.select(F.nullif("conv_id", F.lit(NO_ID)).alias("conv_id"), "k", "node", F.coalesce("n_convs", F.lit(1)).alias("n_convs")).write.parquet(f"{path}/paths")
+    discard(turns, shared)
+
+
+def read_turns(spark, path: str) -> DataFrame:
+    """(conv_id, k, ids, loss_from, loss_to) of every turn; null conv_id: NO_ID."""
+    nodes = spark.read.parquet(f"{path}/nodes").select("node", "owner", "depth", "n_convs", "ids", "loss_from", "loss_to")
+    alone = nodes.where("n_convs = 1").select(F.col("owner").alias("conv_id"), F.col("depth").alias("k"), "ids", "loss_from", "loss_to")
+    paths = spark.read.parquet(f"{path}/paths").where("n_convs > 1").withColumn("conv_id", F.coalesce("conv_id", F.lit(NO_ID)))
+    several = _to_conversations(paths, nodes.where("n_convs > 1").drop("owner", "depth"), HOT)
+    return alone.unionByName(several.select(*alone.columns))
 
 
 def chat_digest(conversations: DataFrame, tokenizer: str) -> DataFrame:
@@ -248,33 +277,40 @@ def chat_digest(conversations: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        tok = encoder(tokenizer, special_text=True).tokenizer
         now, state, done = object(), None, []
 
         def close():
             if state is not None:
-                done.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+                done.append((None if now == NO_ID else now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done), types)], names=names)
 
-        for batch in batches:
-            for conv, formatted, loss in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss"))):
-                if conv != now:
-                    close()
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = parse_turn(formatted)
-                masked = unescape(loss)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                state[2] += len(masked)
-                state[3].update(masked.encode())
-                state[4] += len(formatted)
-            if done:
-                yield rows()
-                done = []
+        for whole in batches:
+            for first in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(first, _ROWS)
+                convs, ids, lo, hi = (batch.column(c).to_pylist() for c in ("conv_id", "ids", "loss_from", "loss_to"))
+                formatted = tok.decode_batch(ids, skip_special_tokens=False)
+                masked = [i for i in range(len(ids)) if lo[i] < hi[i]]
+                loss = dict(zip(masked, tok.decode_batch([ids[i][lo[i] : hi[i]] for i in masked], skip_special_tokens=False)))
+                for i, conv in enumerate(convs):
+                    if conv != now:
+                        close()
+                        now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    role, text = parse_turn(formatted[i])
+                    said = unescape(loss.get(i, ""))
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode())
+                    state[2] += len(said)
+                    state[3].update(said.encode())
+                    state[4] += len(formatted[i])
+                if done:
+                    yield rows()
+                    done = []
         close()
         if done:
             yield rows()
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return _by_conversation(read_conversations(spark, path, tokenizer), run, schema, ["k"])
+    return _by_conversation(read_turns(spark, path), run, schema, ["k"])

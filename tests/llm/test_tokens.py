@@ -180,6 +180,16 @@ CHATS = [
 ] + [(8, i, "assistant", f"t{i}") for i in range(300)] + [(9, i, "assistant", f"t{i}") for i in range(300)]
 
 
+def test_op4_nodes_that_many_share(spark, monkeypatch):
+    """Hot nodes by a broadcast, shared ones by salted joins."""
+    rows = [(i, k, "user" if k % 2 == 0 else "assistant", "hello" if k == 0 else f"t{i % 7 if k == 1 else i}-{k}") for i in range(120) for k in range(1 + i % 4)]
+    df = spark.createDataFrame(rows + CHATS, "conv_id long, turn long, role string, text string").repartition(5)
+    want = expected_chat(rows + CHATS)
+    assert read_chat(chat.chat_digest(df, BYTE)) == want
+    monkeypatch.setattr(chat, "HOT", 10)
+    assert read_chat(chat.chat_digest(df, BYTE)) == want
+
+
 def test_op4_edges_and_tree(spark):
     df = spark.createDataFrame([(*r, "z") for r in CHATS], "conv_id long, turn long, role string, text string, node string")
     assert read_chat(chat.chat_digest(df, BYTE)) == expected_chat(CHATS)
