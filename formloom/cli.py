@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 from . import schema as schemas
 from .functions.text import pair_id
+from .images import prepared
+from .netguard import assert_offline
 from .operators import evaluate, finalize, store
-from .sources import files
-from .streaming.ingest import table
+from .operators import run as runs
+from .operators.run import table
+from .plans.prompts import PROMPT_VERSION
+from .sources import completions, files
 
 
 def session() -> SparkSession:
@@ -33,11 +37,45 @@ def status(spark, args):
 
 
 def ingest(spark, args):
-    docs, pages, results = files.ingest(files.scan(spark, args.path), table(spark, args.store, "documents"), files.available_decoders(args.dpi), args.schema, F.current_timestamp())
+    """Files to documents and pages; page images are prepared and written."""
+    prepare = prepared(args.max_edge, not args.no_deskew, args.denoise)
+    docs, pages, results = files.ingest(files.scan(spark, args.path), table(spark, args.store, "documents"), files.available_decoders(args.dpi), args.schema, F.current_timestamp(), prepare)
     docs, results = docs.persist(), results.persist()
     store.outcomes(results).show(truncate=False)
-    store.append("pages", pages.withColumn("image_path", F.concat_ws("/", "doc_id", "page_no")), args.store)
-    store.append("documents", docs, args.store)
+    store.append("pages", files.with_page_images(pages, f"{args.store}/images"), args.store)
+    store.append("documents", docs, args.store)  # last: a document is there once its pages are
+
+
+def _engine(url, model):
+    def make():
+        return completions.engine("chat_http", url=url, model=model)
+
+    return make
+
+
+def run(spark, args):
+    """Ask the configured model for what pages still need."""
+    config = schemas.load_config(args.config)
+    make = _engine(config.engine_url, config.engine_model)
+    verifier = _engine(config.verify_url or config.engine_url, config.verify_model) if config.verify_pass and config.verify_model else None
+    for url, check in ((config.engine_url, make), (config.verify_url, verifier)):
+        if check and url:
+            assert_offline(url, config.allow_hosts)
+            well, said = check().health()
+            if not well:
+                raise SystemExit(said)
+    runs.run(spark, args.store, schemas.find_schema(config.schemas, args.schema), config, make, verifier, args.doc).show(truncate=False)
+
+
+def finalize_docs(spark, args):
+    """Records of documents without open flags; the others are shown."""
+    runs.finalize_documents(spark, args.store, args.doc).show(args.rows, truncate=False)
+
+
+def version(spark, args):
+    from . import __version__
+
+    print(f"formloom {__version__}, prompts {PROMPT_VERSION}")
 
 
 def review(spark, args):
@@ -90,7 +128,10 @@ def main(argv=None) -> int:
         c.set_defaults(fn=fn)
 
     command(status, "status")
-    command(ingest, "ingest", ("path", {}), ("--schema", {}), ("--dpi", {"type": int, "default": 200}))
+    command(ingest, "ingest", ("path", {}), ("--schema", {}), ("--dpi", {"type": int, "default": 200}), ("--max-edge", {"type": int, "default": 2400}), ("--no-deskew", {"action": "store_true"}), ("--denoise", {"action": "store_true"}))
+    command(run, "run", ("--config", {"required": True}), ("--schema", {"required": True}), ("--doc", {}))
+    command(finalize_docs, "finalize", ("--doc", {}), ("--rows", {"type": int, "default": 50}))
+    command(version, "version")
     command(review, "review", ("--doc", {}), ("--field", {}), ("--rows", {"type": int, "default": 50}))
     command(export, "export", ("out", {}), ("--format", {"choices": ["csv", "jsonl"], "default": "jsonl"}), ("--schema", {}))
     command(score, "eval", ("gold", {}), ("--set", {"default": "flow"}))

@@ -61,12 +61,13 @@ def candidates(text: str):
 
 
 def repair(text: str | None) -> str | None:
-    """The first candidate that parses to an object, as JSON text."""
+    """The first candidate that parses to an object, as JSON text.  NaN and
+    Infinity, which JSON does not have, count as null."""
     if not text or not text.strip():
         return None
     for t in candidates(text):
         try:
-            found = json.loads(t)
+            found = json.loads(t, parse_constant=lambda _: None)
         except ValueError:
             continue
         if isinstance(found, dict):

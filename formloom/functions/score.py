@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_DATE_FORMAT, FieldDef
 from .coerce import java_pattern
-from .text import strip
+from .text import let, strip
 
 #: Fixed values of the composite score.
 AGREEMENT_FLOOR = 0.6
@@ -44,22 +44,36 @@ def agreement(value: Column, raw: Column, fd: FieldDef) -> Column:
     return F.when(value.isNull(), 1.0).when(raw.isNull(), 0.5).otherwise(F.when(found, 1.0).otherwise(0.0))
 
 
+def outcome_of(given: Column, passed: Column, agree: Column, legible: Column, confidence: Column, required: Column, limit: Column) -> Column:
+    """struct(status, composite, flagged, flag_reason) of a reading: whether it
+    gave a value, passed, agrees with what was written, and what its field asks."""
+
+    def judged(score):
+        low = given & (score < limit)
+        # format_number rounds the number that is stored, ties to even.
+        two = lambda x: F.format_number(x, 2)
+        reasons = F.array_compact(
+            F.array(
+                F.when(~passed, "coercion/validation failed"),
+                F.when(~legible, "model reports illegible"),
+                F.when(~given & required, "required field is null"),
+                F.when(low, F.concat(F.lit("composite confidence "), two(score), F.lit(" below threshold "), two(limit))),
+            )
+        )
+        return let(
+            reasons,
+            lambda r: F.struct(
+                F.when(passed, "pass").otherwise("fail").alias("status"),
+                score.alias("composite"),
+                (F.size(r) > 0).alias("flagged"),
+                F.when(F.size(r) > 0, F.array_join(r, "; ")).alias("flag_reason"),
+            ),
+        )
+
+    return let(composite(confidence, passed, agree), judged)
+
+
 def outcome(value: Column, error: Column, legible: Column, confidence: Column, raw: Column, fd: FieldDef, default_threshold: float) -> Column:
     """struct(status, composite, flagged, flag_reason)."""
-    passed = error.isNull()
-    score = composite(confidence, passed, agreement(value, raw, fd))
-    limit = fd.threshold(default_threshold)
-    reasons = F.array_compact(
-        F.array(
-            F.when(~passed, F.lit("coercion/validation failed")),
-            F.when(~legible, F.lit("model reports illegible")),
-            F.when(value.isNull(), F.lit("required field is null")) if fd.required else F.lit(None).cast("string"),
-            F.when(value.isNotNull() & (score < limit), F.format_string(f"composite confidence %.2f below threshold {limit:.2f}", score)),
-        )
-    )
-    return F.struct(
-        F.when(passed, "pass").otherwise("fail").alias("status"),
-        score.alias("composite"),
-        (F.size(reasons) > 0).alias("flagged"),
-        F.when(F.size(reasons) > 0, F.array_join(reasons, "; ")).alias("flag_reason"),
-    )
+    limit = F.lit(float(fd.threshold(default_threshold)))
+    return outcome_of(value.isNotNull(), error.isNull(), agreement(value, raw, fd), legible, confidence, F.lit(fd.required), limit)

@@ -18,6 +18,11 @@ def held(struct: Column) -> Column:
     return F.element_at(F.array(struct), 1)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value being worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(c, SPACE, "")

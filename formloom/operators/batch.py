@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import coerce
-from ..functions.compare import values_match
 from ..functions.text import held
 from ..plans.rules import failed_rules, flag_from_rules, names_in
 from ..schema import FieldDef, Schema, field_defs
 from . import store
-from .extract import parsed_replies, read_field, verified
+from .extract import read_fields, values_agree, verified
 
 TYPE_FIELD = "document_type"
 
@@ -25,14 +24,14 @@ TYPE_FIELD = "document_type"
 def classified(pages: DataFrame, replies: DataFrame, schema: Schema, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(pages with their type, extraction rows of the type field).  A type that
     was read wins over the stored one, and that over the schema's default."""
-    if TYPE_FIELD not in {f.name for f in schema.fields}:
+    known = [f for f in schema.fields if f.name == TYPE_FIELD]
+    if not known:
         kept = pages.withColumn("page_type", F.coalesce("page_type", F.lit(schema.default_page_type).cast("string")))
-        return kept, read_field(parsed_replies(replies.limit(0)), FieldDef(TYPE_FIELD, "string"), threshold).drop("typed")
+        return kept, read_fields(replies.limit(0), [FieldDef(TYPE_FIELD, "string")], threshold)
     own = replies.where((F.col("field_name") == TYPE_FIELD) & (F.col("source") == "page"))
-    rows = read_field(parsed_replies(own), schema.field(TYPE_FIELD), threshold)
-    rows = rows.join(pages.select("page_id"), "page_id", "left_semi")
-    typed = store.page_types(pages, rows.select("page_id", F.col("typed").alias("page_type")), schema.default_page_type)
-    return typed, rows.drop("typed")
+    rows = read_fields(own, known, threshold).join(pages.select("page_id"), "page_id", "left_semi")
+    read = rows.select("page_id", F.try_variant_get(F.try_parse_json("value"), "$", "string").alias("page_type"))
+    return store.page_types(pages, read, schema.default_page_type), rows
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -44,26 +43,26 @@ def settled(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
-def _read_one(needs: DataFrame, replies: DataFrame, fd: FieldDef, threshold: float, crop_types: tuple[str, ...], verify: bool) -> DataFrame:
-    """Rows of one field.  `needs` has page_id and has_crop; the field is read
-    from its crop if it has one and its type is routed there."""
-    crop = F.col("has_crop") if not crop_types or fd.type in crop_types else F.lit(False)
-    wanted = needs.where(F.col("field_name") == fd.name).select("page_id", crop.alias("from_crop"))
-    own = replies.where(F.col("field_name") == fd.name).join(wanted, "page_id")
+def read_needed(needs: DataFrame, replies: DataFrame, fields, threshold: float, crop_types: tuple[str, ...], verify: bool) -> DataFrame:
+    """Rows of the needed (page_id, field_name, has_crop), all fields in one
+    pass.  A field is read from its crop if it has one and its type is routed
+    there."""
+    routed = F.col("field_name").isin([f.name for f in fields if not crop_types or f.type in crop_types])
+    wanted = needs.select("page_id", "field_name", (F.col("has_crop") & routed).alias("from_crop"))
+    own = replies.join(wanted, ["page_id", "field_name"])
     source = F.when(F.col("from_crop"), "crop").otherwise("page")
-    rows = read_field(parsed_replies(own.where(F.col("source") == source)), fd, threshold).join(wanted, "page_id")
+    first = read_fields(own.where(F.col("source") == source).drop("from_crop"), fields, threshold).join(wanted, ["page_id", "field_name"])
     if not verify:
-        return rows.drop("typed", "from_crop")
-    again = own.where("role = 'verify'").withColumn("role", F.lit("primary"))
-    second = read_field(parsed_replies(again), fd, threshold).select("page_id", "field_name", F.col("typed").alias("value"), "raw_transcription", F.col("latency_ms").alias("_ms"))
-    first = rows.withColumn("stored", F.col("value")).withColumn("value", F.col("typed"))
-    out = verified(first, second.drop("_ms"), values_match(F.col("value"), F.col("verify_value"), fd, composed=True), F.col("from_crop"))
-    took = second.select("page_id", "_ms")
-    out = out.join(took, "page_id", "left").withColumn("latency_ms", F.col("latency_ms") + F.when(~rows_flagged(first), F.coalesce("_ms", F.lit(0))).otherwise(0))
-    return out.withColumn("value", F.col("stored")).drop("typed", "stored", "from_crop", "_ms")
+        return first.drop("from_crop")
+    again = own.where("role = 'verify'").withColumn("role", F.lit("primary")).drop("from_crop")
+    second = read_fields(again, fields, threshold).select("page_id", "field_name", "value", "raw_transcription", F.col("latency_ms").alias("_ms"))
+    out = verified(first, second.drop("_ms"), values_agree(fields, "value", "verify_value"), F.col("from_crop"))
+    out = out.join(second.select("page_id", "field_name", "_ms"), ["page_id", "field_name"], "left")
+    took = F.when(~rows_flagged(out), F.coalesce("_ms", F.lit(0))).otherwise(0)
+    return out.withColumn("latency_ms", F.col("latency_ms") + took).drop("from_crop", "_ms")
 
 
-def rows_flagged(first: DataFrame) -> Column:
+def rows_flagged(rows: DataFrame) -> Column:
     """Flags that were there before a second reading (those are not verified)."""
     return F.coalesce(F.col("flag_reason").isNotNull() & ~F.col("flag_reason").startswith("verify pass"), F.lit(False))
 
@@ -93,10 +92,10 @@ def extract_batch(
     if crops is None:
         crops = spark.createDataFrame([], "page_id string, field_name string, region_id string, crop_path string")
     needs = needs.join(crops.select("page_id", "field_name", F.lit(True).alias("has_crop")), ["page_id", "field_name"], "left").withColumn("has_crop", F.coalesce("has_crop", F.lit(False)))
+    others = [f for f in schema.fields if f.name != TYPE_FIELD]
     rows = store.not_done(type_rows, existing, version)
-    for fd in schema.fields:
-        if fd.name != TYPE_FIELD:
-            rows = rows.unionByName(_read_one(needs, replies, fd, threshold, crop_types, verify))
+    if others:
+        rows = rows.unionByName(read_needed(needs, replies, others, threshold, crop_types, verify))
     rows = _with_rules(settled(rows), typed_pages, schema, existing, version)
     rows = rows.join(crops.select("page_id", "field_name", "region_id", "crop_path"), ["page_id", "field_name"], "left")
     key = F.substring(F.sha2(F.concat_ws(":", "page_id", "field_name", F.lit(version)), 256), 1, 16)
@@ -114,7 +113,9 @@ def _with_rules(rows: DataFrame, pages: DataFrame, schema: Schema, existing: Dat
     texts = values.groupBy("page_id").agg(*[F.max(F.when(F.col("field_name") == f.name, F.col("value"))).alias(f.name) for f in named])
     record = pages.select("page_id", "page_type").join(texts, "page_id", "left")
     record = record.select("page_id", "page_type", *[held(coerce(F.try_parse_json(f.name), f)).alias(f.name) for f in named])
-    record = settled(record.select("page_id", "page_type", *[F.col(f"{f.name}.value").alias(f.name) for f in named]))
+    # Rules reckon in floating point; the readings keep their digits.
+    plain = lambda f: F.col(f"{f.name}.value").cast("double") if f.type == "integer" else F.col(f"{f.name}.value")
+    record = settled(record.select("page_id", "page_type", *[plain(f).alias(f.name) for f in named]))
     failures = None
     for kind in [*schema.page_types, None]:
         of_kind = record.where(F.col("page_type").isNull() if kind is None else F.col("page_type") == kind)

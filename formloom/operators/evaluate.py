@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_word, percent, token_set
+from ..functions.text import covers, first_word, percent, token_set
 from .latest import newest
 
 COUNTERS = ("n", "correct", "flagged", "auto_accepted", "auto_accepted_correct", "false_negative_flags", "halluc_opportunities", "hallucinations", "hallucinations_escaped")
@@ -15,8 +15,9 @@ def load_gold(spark, path: str) -> DataFrame:
     """(pair_id, field_name, gold_json) of a gold CSV; of repeated (pair, field)
     the last line counts."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"')
-    rows = rows.withColumn("_line", F.monotonically_increasing_id())
-    return newest(rows, ["pair_id", "field_name"], ["_line"], ["gold_json"])
+    # A file of quoted line breaks is read by one task, in order.
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file")).withColumn("_line", F.monotonically_increasing_id())
+    return newest(rows, ["pair_id", "field_name"], ["_file", "_line"], ["gold_json"])
 
 
 def pair_documents(documents: DataFrame, pair: Column) -> DataFrame:
@@ -29,6 +30,12 @@ def newest_readings(extractions: DataFrame, keys: list[str], order: list[str]) -
     return newest(extractions, keys, order)
 
 
+def newest_of_field(extractions: DataFrame, pages: DataFrame, field: str, order: list[str]) -> DataFrame:
+    """The newest reading of one field for each document, whatever its page."""
+    rows = extractions.where(F.col("field_name") == field).join(pages.select("page_id", "doc_id"), "page_id")
+    return newest(rows, ["doc_id"], order)
+
+
 def judged(gold: DataFrame, readings: DataFrame, keys: list[str], match: Column) -> DataFrame:
     """Gold rows with the reading of their key and `ok`; without one, found is
     false."""
@@ -90,22 +97,30 @@ def render_markdown(scores: DataFrame, set_name: str, missing_pages: list[str] =
 
 # ---------------------------------------------------------------- token scores
 
-def token_matches(gold: DataFrame, got: DataFrame, page: str, gold_text: str, got_text: str, composed: bool = False, share: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """Gold rows with `hit`, and readings with `spurious`, within each page.
+def token_matches(gold: DataFrame, got: DataFrame, page: str, gold_text: str, got_text: str, key: str, composed: bool = False, share: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """Gold rows with `hit`, and readings with `spurious`, within each page;
+    `key` tells the rows of each side apart.
 
-    A gold row is hit by a reading of its page with `share` of its tokens.  The
-    comparison joins on (page, token) and counts shared tokens, so readings
-    without a common token are never paired.
+    A gold row of n tokens is hit by a reading of its page that has at least
+    need = ceil(share * n) of them, so that has one of any n - need + 1.  Only
+    the n - need + 1 that fewest readings of the page have are joined on; the
+    pairs found are verified once.
     """
-    g = gold.withColumn("_g", F.monotonically_increasing_id()).withColumn("_gt", token_set(F.col(gold_text), composed))
-    c = got.withColumn("_c", F.monotonically_increasing_id()).withColumn("_ct", token_set(F.col(got_text), composed))
-    by_g = g.select(page, "_g", F.size("_gt").alias("_n"), F.explode("_gt").alias("_t"))
-    by_c = c.select(page, "_c", F.explode("_ct").alias("_t"))
-    shared = by_g.join(by_c, [page, "_t"]).groupBy("_g", "_c").agg((F.count(F.lit(1)) / F.first("_n") >= share).alias("near")).where("near")
-    hits = shared.select("_g").distinct().withColumn("hit", F.lit(True))
-    used = shared.select("_c").distinct().withColumn("used", F.lit(True))
-    gold_rows = g.join(hits, "_g", "left").withColumn("hit", F.coalesce("hit", F.lit(False))).drop("_g", "_gt")
-    got_rows = c.join(used, "_c", "left").withColumn("spurious", F.col("used").isNull()).drop("_c", "_ct", "used")
+    g = gold.select(page, F.col(key).alias("_g"), token_set(F.col(gold_text), composed).alias("_gt"))
+    c = got.select(page, F.col(key).alias("_c"), token_set(F.col(got_text), composed).alias("_ct"))
+    read = c.select(page, "_c", F.explode("_ct").alias("_t"))
+    often = read.groupBy(page, "_t").agg(F.count(F.lit(1)).alias("_f"))
+    each = g.select(page, "_g", F.explode("_gt").alias("_t")).join(often, [page, "_t"], "left")
+    # As many tokens as a text has.
+    ranked = each.groupBy(page, "_g").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("_f"), "_t"))).alias("_o"))
+    kept = F.size("_o") - F.ceil(F.size("_o") * F.lit(share) - F.lit(1e-9)).cast("int") + 1
+    prefix = ranked.select(page, "_g", F.explode(F.slice("_o", F.lit(1), kept)).alias("_p")).where("_p._f > 0").select(page, "_g", F.col("_p._t").alias("_t"))
+    pairs = prefix.join(read, [page, "_t"]).select(page, "_g", "_c").distinct()
+    near = pairs.join(g, [page, "_g"]).join(c, [page, "_c"]).where(covers(F.col("_gt"), F.col("_ct"), share))
+    hits = near.select(page, F.col("_g").alias(key)).distinct().withColumn("hit", F.lit(True))
+    used = near.select(page, F.col("_c").alias(key)).distinct().withColumn("_used", F.lit(True))
+    gold_rows = gold.join(hits, [page, key], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    got_rows = got.join(used, [page, key], "left").withColumn("spurious", F.col("_used").isNull()).drop("_used")
     return gold_rows, got_rows
 
 

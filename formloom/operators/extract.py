@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import score
 from ..functions.coerce import coerce, json_text
+from ..functions.compare import values_match
 from ..functions.jsonrepair import envelope, is_object, parsed
-from ..functions.text import held, quoted
-from ..schema import FieldDef, Schema
+from ..functions.text import held, let, quoted
+from ..schema import FieldDef
 
 
 def parsed_replies(replies: DataFrame) -> DataFrame:
@@ -31,20 +32,50 @@ def parsed_replies(replies: DataFrame) -> DataFrame:
     )
 
 
-def read_field(rows: DataFrame, fd: FieldDef, threshold: float) -> DataFrame:
-    """Extraction columns of one field's parsed replies; `typed` keeps the
-    coerced value as its type."""
+def by_field(fields, make, name: str = "field_name") -> Column:
+    """make(field) of the row's field; null for other names."""
+    out = F.lit(None)
+    for fd in fields:
+        out = F.when(F.col(name) == fd.name, make(fd)).otherwise(out)
+    return out
+
+
+def stored_value(text: Column, fd: FieldDef) -> Column:
+    """A stored JSON text as the field's type."""
+    return coerce(F.try_parse_json(text), fd)["value"]
+
+
+def read_fields(replies: DataFrame, fields, threshold: float) -> DataFrame:
+    """Extraction rows of the replies to any of `fields`.
+
+    Replies are parsed once, whatever the number of fields; each row is then
+    coerced as its field's type asks, and kept as JSON text.
+    """
+    rows = parsed_replies(replies.where(F.col("field_name").isin([f.name for f in fields])))
+    rows = rows.withColumn("e", held(envelope(F.col("env"))))
+
+    def one(fd):
+        def read(c):
+            return F.struct(
+                json_text(c["value"]).alias("value"),
+                c["error"].alias("error"),
+                c["value"].isNotNull().alias("given"),
+                score.agreement(c["value"], F.col("e.raw_transcription"), fd).alias("agree"),
+                F.lit(fd.required).alias("required"),
+                F.lit(float(fd.threshold(threshold))).alias("limit"),
+            )
+
+        return let(coerce(F.col("e.value"), fd), read)
+
+    rows = rows.withColumn("c", held(by_field(fields, one)))
+    c = lambda n: F.col(f"c.{n}")
+    rows = rows.withColumn("o", held(score.outcome_of(c("given"), c("error").isNull(), c("agree"), F.col("e.legible"), F.col("e.confidence"), c("required"), c("limit"))))
     bad = F.col("env").isNull()
-    e = envelope(F.col("env"))
-    rows = rows.withColumn("e", held(e)).withColumn("c", held(coerce(F.col("e.value"), fd)))
-    o = score.outcome(F.col("c.value"), F.col("c.error"), F.col("e.legible"), F.col("e.confidence"), F.col("e.raw_transcription"), fd, threshold)
-    rows = rows.withColumn("o", held(o))
-    keep = lambda c: F.when(~bad, c)
+    keep = lambda x: F.when(~bad, x)
     errors = F.when(bad, F.array(F.lit(score.UNPARSED_ERROR))).otherwise(F.array_compact(F.array("c.error")))
     return rows.select(
         "page_id", "field_name",
-        keep(F.col("c.value")).alias("typed"),
-        F.when(bad, F.lit("null")).otherwise(json_text(F.col("c.value"))).alias("value"),
+        F.when(bad, F.lit("null")).otherwise(c("value")).alias("value"),
         keep(F.col("e.raw_transcription")).alias("raw_transcription"),
         keep(F.col("e.legible")).alias("legible"),
         keep(F.col("e.note")).alias("note"),
@@ -54,18 +85,18 @@ def read_field(rows: DataFrame, fd: FieldDef, threshold: float) -> DataFrame:
         errors.alias("validation_errors"),
         (bad | F.col("o.flagged")).alias("flagged"),
         F.when(bad, F.lit(score.UNPARSED)).otherwise(F.col("o.flag_reason")).alias("flag_reason"),
-        F.round("latency_ms").cast("int").alias("latency_ms"),
+        F.bround("latency_ms").cast("int").alias("latency_ms"),
     )
 
 
-def read_fields(replies: DataFrame, schema: Schema, threshold: float) -> DataFrame:
-    """Extraction rows of all of a schema's fields; one branch for each declared
-    field, as each type has expressions of its own."""
-    rows, out = parsed_replies(replies), None
-    for fd in schema.fields:
-        one = read_field(rows.where(F.col("field_name") == fd.name), fd, threshold).drop("typed")
-        out = one if out is None else out.unionByName(one)
-    return out
+def values_agree(fields, value: str, other: str) -> Column:
+    """Whether two columns of stored JSON texts hold equal values of the row's
+    field."""
+
+    def same(fd):
+        return let(F.struct(stored_value(F.col(value), fd).alias("a"), stored_value(F.col(other), fd).alias("b")), lambda x: values_match(x["a"], x["b"], fd, composed=True))
+
+    return F.coalesce(by_field(fields, same), F.lit(False))
 
 
 def verified(first: DataFrame, second: DataFrame, match: Column, primary_is_crop: Column) -> DataFrame:

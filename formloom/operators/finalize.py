@@ -110,4 +110,5 @@ def write_jsonl(recs: DataFrame, path: str) -> None:
 
 
 def write_csv(recs: DataFrame, path: str, names: list[str] | None = None) -> None:
-    csv_rows(recs, names).write.csv(path, header=True, quote='"', escape='"', emptyValue="")
+    ordered = recs.repartitionByRange("finalized_at", "record_id").sortWithinPartitions("finalized_at", "record_id")
+    csv_rows(ordered, names if names is not None else field_order(recs)).write.csv(path, header=True, quote='"', escape='"', emptyValue="")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import missing_fields
+from ..functions.coerce import as_string, is_null, kind
+from ..schema import FieldDef, Schema
+from .extract import by_field
+from .store import in_scope, missing_fields
 
 
 def uncovered(pages: DataFrame, field_defs: DataFrame, extractions: DataFrame) -> DataFrame:
@@ -53,3 +59,56 @@ def gold_out_of_scope(gold: DataFrame, field_defs: DataFrame) -> DataFrame:
     defs = F.broadcast(field_defs.select("field_name", "field_page_type", F.lit(True).alias("declared")))
     rows = gold.join(defs, "field_name", "left")
     return rows.where(F.col("declared").isNull() | (F.col("field_page_type").isNotNull() & F.col("page_type").isNotNull() & (F.col("field_page_type") != F.col("page_type")))).select("pair_id", "field_name")
+
+
+def gold_uncovered(gold: DataFrame, pages: DataFrame, field_defs: DataFrame) -> DataFrame:
+    """(page_id, field_name) in scope of a page with gold that have none."""
+    have = gold.select("page_id", "field_name")
+    return in_scope(pages.join(have.select("page_id").distinct(), "page_id", "left_semi"), field_defs).join(have, ["page_id", "field_name"], "left_anti").select("page_id", "field_name")
+
+
+def gold_problem(v: Column, fd: FieldDef) -> Column:
+    """What is wrong with a gold value (VARIANT), or null.  Gold is strict: a
+    value must have its field's type as it stands, and be in its limits; a table
+    must be a list of rows with exactly the declared columns."""
+    k, text, number = kind(v), as_string(v), F.try_variant_get(v, "$", "double")
+    out_of_range = F.lit(False)
+    if fd.min is not None:
+        out_of_range = out_of_range | (number < fd.min)
+    if fd.max is not None:
+        out_of_range = out_of_range | (number > fd.max)
+    if fd.type == "table":
+        rows = F.try_variant_get(v, "$", "array<map<string,variant>>")
+        names = F.array_sort(F.array(*[F.lit(c.name) for c in fd.columns]))
+        columns_differ = F.exists(rows, lambda r: F.array_sort(F.map_keys(r)) != names)
+        limited = [c for c in fd.columns if c.type in ("integer", "float", "enum")]
+
+        def bad_cell(r):
+            found = [gold_problem(F.try_element_at(r, F.lit(c.name)), c).isNotNull() for c in limited]
+            return reduce(or_, found, F.lit(False))
+
+        cells = F.exists(rows, bad_cell)
+        problem = (
+            F.when((k != "list") | rows.isNull(), "not a list of rows")
+            .when(F.size(rows) > fd.max_rows, "too many rows")
+            .when(columns_differ, "columns differ")
+            .when(cells, "cell out of range")
+        )
+        return F.when(is_null(v), "not a list of rows").otherwise(problem)
+    if fd.type == "enum":
+        problem = F.when((k != "str") | ~text.isin(*fd.values), "not a member")
+    elif fd.type == "integer":
+        problem = F.when(k != "int", "not an integer").when(out_of_range, "out of range")
+    elif fd.type == "float":
+        problem = F.when(~k.isin("int", "float"), "not a number").when(out_of_range, "out of range")
+    elif fd.type in ("string", "free_text"):
+        problem = F.when(k != "str", "not a text").when((F.length(text) > fd.max_length) if fd.max_length else F.lit(False), "too long")
+    else:
+        problem = F.lit(None).cast("string")
+    return F.when(~is_null(v), problem)
+
+
+def gold_problems(gold: DataFrame, schema: Schema, value: str = "gold_json") -> DataFrame:
+    """Gold rows whose value breaks its field's constraints, with `problem`."""
+    rows = gold.withColumn("_v", F.try_parse_json(value))
+    return rows.withColumn("problem", by_field(schema.fields, lambda fd: gold_problem(F.col("_v"), fd)).cast("string")).drop("_v").where("problem IS NOT NULL")

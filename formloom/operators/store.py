@@ -69,8 +69,9 @@ def unresolved_flags(queue: DataFrame, doc_id=None) -> DataFrame:
 
 
 def records_to_export(records: DataFrame, documents: DataFrame, schema_id: str | None = None) -> DataFrame:
+    """Records with their source; writers put them in order."""
     rows = records if schema_id is None else records.where(F.col("schema_id") == schema_id)
-    return rows.join(documents.select("doc_id", "source_path"), "doc_id").orderBy("finalized_at", "record_id")
+    return rows.join(documents.select("doc_id", "source_path"), "doc_id")
 
 
 def not_done(needed: DataFrame, extractions: DataFrame, prompt_version: str) -> DataFrame:
@@ -119,21 +120,42 @@ def image_of(crop_path: Column, image_path: Column) -> Column:
     return F.coalesce(F.nullif(crop_path, F.lit("")), image_path)
 
 
+def schema_of(documents: DataFrame, doc_id) -> DataFrame:
+    return documents.where(F.col("doc_id") == doc_id).select("doc_id", "schema_id")
+
+
+def page_image(pages: DataFrame, page_id) -> DataFrame:
+    return pages.where(F.col("page_id") == page_id).select("page_id", "image_path")
+
+
+def extraction_image(extractions: DataFrame, pages: DataFrame, extraction_id) -> DataFrame:
+    """The crop that an extraction was read from, or its page."""
+    rows = extractions.where(F.col("extraction_id") == extraction_id).join(pages.select("page_id", "image_path"), "page_id")
+    return rows.select("extraction_id", image_of(F.col("crop_path"), F.col("image_path")).alias("image"))
+
+
+def review_target(extractions: DataFrame, pages: DataFrame, extraction_id) -> DataFrame:
+    rows = extractions.where(F.col("extraction_id") == extraction_id).join(pages.select("page_id", "doc_id"), "page_id")
+    return rows.select("extraction_id", "doc_id", "field_name")
+
+
 def in_scope(pages: DataFrame, field_defs: DataFrame) -> DataFrame:
-    """(page, field) pairs by page type: global fields, fields of the type, and
-    all fields of pages without a type.  Two equi-joins and a broadcast of the
-    declared fields; nothing nested."""
-    every, typed = field_defs.where("field_page_type IS NULL"), field_defs.where("field_page_type IS NOT NULL")
-    whole = F.broadcast(field_defs.groupBy(F.lit(1).alias("_k")).agg(F.collect_list(F.struct(*field_defs.columns)).alias("_f")))
-    base = F.broadcast(every.groupBy(F.lit(1).alias("_k")).agg(F.collect_list(F.struct(*field_defs.columns)).alias("_f")))
-    kinds = F.broadcast(typed.groupBy(F.col("field_page_type").alias("page_type")).agg(F.collect_list(F.struct(*field_defs.columns)).alias("_f")))
+    """(page, field) pairs by page type: global fields and those of the type; all
+    fields of pages without a type.  Declared fields are a few rows, so they
+    become literals, and pages are read once with neither join nor shuffle."""
+    names = field_defs.columns
+    rows = field_defs.collect()
+    kind = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in field_defs.schema.fields]))
 
-    def spread(rows):
-        return rows.withColumn("_d", F.explode("_f")).select(*pages.columns, *[F.col(f"_d.{c}").alias(c) for c in field_defs.columns])
+    def listed(keep) -> Column:
+        kept = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in field_defs.schema.fields]) for r in rows if keep(r.field_page_type)]
+        return F.array(*kept) if kept else F.slice(kind, 1, 0)
 
-    no_type = spread(pages.where("page_type IS NULL").withColumn("_k", F.lit(1)).join(whole, "_k").drop("_k"))
-    known = pages.where("page_type IS NOT NULL")
-    return no_type.unionByName(spread(known.withColumn("_k", F.lit(1)).join(base, "_k").drop("_k"))).unionByName(spread(known.join(kinds, "page_type")))
+    fields = F.when(F.col("page_type").isNull(), listed(lambda t: True))
+    for t in sorted({r.field_page_type for r in rows if r.field_page_type is not None}):
+        fields = fields.when(F.col("page_type") == t, listed(lambda own, t=t: own in (None, t)))
+    fields = fields.otherwise(listed(lambda own: own is None))
+    return pages.withColumn("_d", F.explode(fields)).select(*pages.columns, *[F.col(f"_d.{n}").alias(n) for n in names])
 
 
 def missing_fields(pages: DataFrame, field_defs: DataFrame, extractions: DataFrame) -> DataFrame:
@@ -232,3 +254,16 @@ def append(table: str, rows: DataFrame, path: str) -> None:
     are null."""
     cols = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table]]
     rows.select(*cols).write.mode("append").parquet(f"{path}/{table}")
+
+
+def replace(table: str, rows: DataFrame, path: str) -> None:
+    """Put rows in the place of a stored table, which they may be made from: the
+    new one is written in full before the old one goes."""
+    spark = rows.sparkSession
+    append(table, rows, f"{path}/next")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}/next/{table}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
+    place = old.getFileSystem(conf)
+    place.delete(old, True)
+    if not place.rename(new, old):
+        raise OSError(f"{table} could not be put in place; it is at {path}/next")

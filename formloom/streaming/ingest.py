@@ -11,31 +11,23 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import TABLES, append
-from ..sources.files import Decoder, accepted, ingest
+from ..operators.run import table
+from ..operators.store import append
+from ..sources.files import Decoder, Prepare, accepted, ingest, with_page_images
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def table(spark: SparkSession, path: str, name: str):
-    """A stored table, empty if nothing was written yet."""
-    try:
-        return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], TABLES[name])
-        raise
-
-
-def start(spark: SparkSession, source: str, store: str, checkpoint: str, decoders: dict[str, Decoder], schema_id: str | None = None, once: bool = True) -> StreamingQuery:
-    """Append new files below `source` to the tables below `store`."""
+def start(spark: SparkSession, source: str, store: str, checkpoint: str, decoders: dict[str, Decoder], schema_id: str | None = None, once: bool = True, prepare: Prepare | None = None) -> StreamingQuery:
+    """Append new files below `source` to the tables below `store`, their page
+    images to `store`/images."""
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", True).load(source)
     files = files.where(accepted(F.col("path"))).withColumn("file_hash", F.sha2("content", 256)).withColumn("doc_id", F.substring("file_hash", 1, 12))
 
     def batch(rows, _):
-        docs, pages, _ = ingest(rows, table(spark, store, "documents"), decoders, schema_id, F.current_timestamp())
+        docs, pages, _ = ingest(rows, table(spark, store, "documents"), decoders, schema_id, F.current_timestamp(), prepare)
         docs = docs.persist()
-        append("pages", pages.withColumn("image_path", F.concat_ws("/", "doc_id", F.format_string("page_%04d.png", "page_no"))), store)
+        append("pages", with_page_images(pages, f"{store}/images"), store)
         append("documents", docs, store)  # last: a document is there once its pages are
         docs.unpersist()
 

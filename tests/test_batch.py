@@ -41,8 +41,85 @@ def test_batch(spark):
     assert got["p1", "meds"].flag_reason == "cross-field rule failed: no drugs" == got["p1", "document_type"].flag_reason
     assert got["p2", "age"].value == "101" and got["p2", "age"].flag_reason == "cross-field rule failed: age is None or age < 100" and got["p2", "age"].latency_ms == 20
     plan = got["p2", "plan"]
-    assert plan.value == '"rest"' and plan.flag_reason == "verify pass disagreement: second read from the whole page gave sleep" and plan.region_id == "r9"
+    assert plan.value == '"rest"' and plan.flag_reason == "verify pass disagreement: second read from the whole page gave \"sleep\"" and plan.region_id == "r9"
     assert abs(plan.composite - 0.475) < 1e-9 and plan.note == "verify read: 'sleep'"
     assert not got["p3", "age"].flagged
     again = extract_batch(typed, replies, SCHEMA, rows.select("page_id", "field_name", "value", "prompt_version").unionByName(before), "v1", F.lit("2025-01-02"), verify=True)[1]
     assert again.count() == 0
+
+
+class Reader:
+    """Answers by the field that a prompt asks for."""
+
+    name, version, model = "reader", "1", "m"
+    SAYS = {"document_type": "note", "age": 34, "plan": "rest"}
+
+    def complete(self, system, user, images, json_schema=None):
+        from formloom.sources.completions import Completion
+
+        assert images and images[0].startswith(b"\x89PNG")
+        field = user.split(",")[0]
+        if field == "plan" and "last answer" not in user:
+            return Completion("well, rest", "m", 3.0)
+        return Completion(json.dumps({"value": self.SAYS[field], "legible": True, "confidence": 0.99, "raw_transcription": str(self.SAYS[field]), "note": None}), "m", 5.0)
+
+
+def test_run_from_files_to_records(spark, tmp_path):
+    """Ingest with images kept, a run, review, records; then nothing is left to do."""
+    import sys
+
+    import numpy as np
+    from pyspark import cloudpickle
+
+    from formloom import images
+    from formloom.operators import review, store
+    from formloom.operators import run as runs
+    from formloom.schema import Config
+    from formloom.sources import files, regions
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    src, path = tmp_path / "in", str(tmp_path / "store")
+    src.mkdir()
+    for name, shade in (("A_1.png", 200), ("A_2.png", 90)):
+        (src / name).write_bytes(images.png_bytes(np.full((300, 500, 3), shade, np.uint8)))
+    (src / "bad.png").write_bytes(b"no image")
+    docs, pages, results = files.ingest(files.scan(spark, str(src)), runs.table(spark, path, "documents"), files.available_decoders(), "s", F.current_timestamp(), images.prepared(max_edge=250))
+    docs = docs.persist()
+    assert {r.outcome: r.n for r in store.outcomes(results).collect()} == {"ingested": 2, "failed": 1}
+    store.append("pages", files.with_page_images(pages, f"{path}/images"), path)
+    store.append("documents", docs, path)
+    rows = runs.table(spark, path, "pages").collect()
+    assert len(rows) == 2 and all((r.width_px, r.height_px, r.deskew_angle) == (250, 150, 0.0) for r in rows)
+    assert sorted(images.png_array(files.read_image(r.image_path))[0, 0, 0] for r in rows) == [90, 200]
+    assert not list((tmp_path / "store" / "images").rglob("*.part"))
+
+    boxes = spark.createDataFrame([(rows[0].page_id, "age", [10, 10, 60, 40]), (rows[0].page_id, "plan", [0, 0, 30, 30])], "page_id string, field_name string, bbox array<int>")
+    found, crops = regions.cut_out(runs.table(spark, path, "pages"), boxes, f"{path}/images", "grid", "1", margin=5)
+    store.append("regions", found, path)
+    cut = {r.field_name: images.png_array(files.read_image(r.crop_path)).shape for r in crops.collect()}
+    assert cut == {"age": (40, 60, 3), "plan": (35, 35, 3)} and runs.table(spark, path, "regions").count() == 2
+
+    config, at = Config(), F.lit("2025-01-01").cast("timestamp")
+    counts = {r.outcome: r.n for r in runs.run(spark, path, SCHEMA, config, Reader, at=at).collect()}
+    assert counts == {"asked as primary": 6, "asked as retry": 2}
+    got = runs.table(spark, path, "extractions").collect()
+    assert {(r.field_name, r.value, r.model_name) for r in got} == {("document_type", '"note"', "m"), ("age", "34", "m"), ("plan", '"rest"', "m")} and len(got) == 6
+    assert {r.status for r in runs.table(spark, path, "documents").collect()} == {"extracted"} and {r.page_type for r in runs.table(spark, path, "pages").collect()} == {"note"}
+    assert runs.run(spark, path, SCHEMA, config, Reader, at=at).collect() == [] and runs.table(spark, path, "extractions").count() == 6
+
+    flagged = [r for r in got if r.flagged]
+    assert {r.field_name for r in flagged} == {"document_type"} or not flagged
+    age = next(r.extraction_id for r in got if r.field_name == "age")
+    said = [(age, "correct", '"Ad"'), (age, "correct", "200"), (age, "correct", "35"), (age, "correct", None), (age, "accept", "7"), (age, "burn", None), ("none", "accept", None), (age, "correct", "{"), (age, "reject", None)]
+    given = spark.createDataFrame([(*r, "me", None) for r in said], "extraction_id string, action string, corrected_value string, reviewer string, comment string")
+    judged = [(r.action, r.corrected_value, r.problem) for r in review.checked(given, runs.table(spark, path, "extractions"), SCHEMA).collect()]
+    assert sorted(judged, key=str) == sorted([
+        ("correct", None, "age: coercion failed -- 'Ad' is not an integer"), ("correct", None, "age: coercion failed -- 200 is above max 120.0"), ("correct", "35", None), ("correct", "null", None), ("accept", None, None),
+        ("burn", None, "no such action: 'burn'"), ("accept", None, "no such extraction"), ("correct", None, "the correction is no JSON value"), ("reject", None, None),
+    ], key=str)
+    keep = review.checked(given.where("corrected_value = '35'"), runs.table(spark, path, "extractions"), SCHEMA)
+    store.append("reviews", review.accepted(keep, F.lit("2025-01-02").cast("timestamp")), path)
+    assert runs.finalize_documents(spark, path, at=at).count() == 0
+    final = [json.loads(r.final_json) for r in runs.table(spark, path, "records").collect()]
+    assert sorted(x["age"] for x in final) == [34, 35] and {r.status for r in runs.table(spark, path, "documents").collect()} == {"finalized"}
+    assert runs.finalize_documents(spark, path, at=at).count() == 0 and runs.table(spark, path, "records").count() == 2

@@ -73,7 +73,11 @@ def test_prompts():
     assert "v" in prompts.field_prompt(table, Schema("s")) and "shape" in prompts.repair_prompt(table)
     assert prompts.spark_value_type(table) == "array<struct<t:double>>"
     assert prompts.version_key(None, verify=True) == prompts.PROMPT_VERSION
-    assert prompts.version_key("grid", ("table", "date"), True, "org/m") == prompts.PROMPT_VERSION + "+crop:grid:r=date,table+verify:m"
+    keys = [prompts.version_key("grid"), prompts.version_key("grid", ("table",)), prompts.version_key("grid", verify=True), prompts.version_key("grid", verify=True, verify_model="org/m"), prompts.version_key("other")]
+    assert len(set(keys)) == 5 and all(k.startswith(prompts.PROMPT_VERSION + ".") for k in keys)
+    assert prompts.version_key("grid", ("table", "date"), True, "org/m") == prompts.version_key("grid", ("date", "table"), True, "m")
+    said = prompts.field_prompt(FieldDef("age", "integer", min=0.0, max=120.0, extract_hint="in years"), Schema("s"))
+    assert all(x in said for x in ("age", "integer", "0 or more", "120 or less", "in years"))
 
 
 def test_netguard():
@@ -128,6 +132,85 @@ def test_images():
     assert images.denoise(noisy).std() <= noisy.std()
 
 
+def test_png_round_trip():
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(3)
+    for img in (rng.integers(0, 256, (7, 5, 3), dtype=np.uint8), np.full((4, 9, 3), 7, np.uint8)):
+        assert (images.png_array(images.png_bytes(img)) == img).all()
+    assert (images.png_array(images.png_bytes(img[..., 0])) == img).all()
+    # Every row filter, by the format's own definitions.
+    img = rng.integers(0, 256, (5, 6, 3), dtype=np.uint8)
+    raw, flat = b"", img.reshape(5, 18).astype(int)
+    for y in range(5):
+        line = bytearray()
+        for i in range(18):
+            a, b, c = (flat[y, i - 3] if i >= 3 else 0), (flat[y - 1, i] if y else 0), (flat[y - 1, i - 3] if y and i >= 3 else 0)
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            line.append((flat[y, i] - [0, a, b, (a + b) // 2, paeth][y]) & 255)
+        raw += bytes([y]) + bytes(line)
+    plain = images.png_bytes(img)
+    at = plain.index(b"IDAT")
+    size = struct.unpack(">I", plain[at - 4 : at])[0]
+    body = zlib.compress(raw)
+    made = plain[: at - 4] + struct.pack(">I", len(body)) + b"IDAT" + body + struct.pack(">I", zlib.crc32(b"IDAT" + body)) + plain[at + 8 + size :]
+    assert (images.png_array(made) == img).all()
+    with pytest.raises(ValueError):
+        images.png_array(b"GIF89a")
+
+
+def test_line_heights_one_by_one():
+    """Against a scan row by row."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        cover = np.repeat(rng.choice([0.0, 0.1, 0.25, 0.3, 0.4, 0.9], 30), rng.integers(1, 25, 30))
+        ys, y = [], 0
+        for y in range(len(cover)):
+            inside = y > 0 and cover[y - 1] >= 0.21
+            if cover[y] >= 0.35 and not any(s <= y < e for s, e, _ in ys):
+                e = next((k for k in range(y, len(cover)) if cover[k] < 0.21), len(cover))
+                ys.append((y, e, inside))
+        found = [(s + e) // 2 for s, e, _ in ys]
+        gaps = np.diff(found)
+        good = len(found) >= 4 and np.median(gaps) >= 8 and np.percentile(gaps, 90) <= 4 * np.median(gaps)
+        assert images.line_heights(cover, 1000) == ([round(v / 1000, 4) for v in found] if good else [])
+
+
+def test_gold_invariants(spark):
+    from formloom.operators import invariants
+
+    schema = Schema("s", page_types=("x", "y"), fields=(
+        FieldDef("age", "integer", min=0.0, max=120.0), FieldDef("kind", "enum", values=("a", "b")), FieldDef("note", "string", max_length=3, page_type="x"),
+        FieldDef("rows", "table", page_type="y", columns=(FieldDef("t", "float", min=30.0, max=45.0), FieldDef("d", "string")), max_rows=2),
+    ))
+    cases = [("age", "34", None), ("age", "null", None), ("age", '"34"', "not an integer"), ("age", "121", "out of range"), ("kind", '"a"', None), ("kind", '"A"', "not a member"), ("note", '"abc"', None), ("note", '"abcd"', "too long"), ("note", "5", "not a text"),
+             ("rows", "null", "not a list of rows"), ("rows", "[]", None), ("rows", '[{"t": 36.5, "d": null}]', None), ("rows", '[{"t": 36.5}]', "columns differ"), ("rows", '[{"t": 50, "d": "x"}]', "cell out of range"), ("rows", '[{"t": "x", "d": "x"}]', "cell out of range"), ("rows", '{"t": 1}', "not a list of rows"),
+             ("rows", '[{"t":31,"d":""},{"t":31,"d":""},{"t":31,"d":""}]', "too many rows")]
+    df = spark.createDataFrame([(i, f, v) for i, (f, v, _) in enumerate(cases)], "i int, field_name string, gold_json string")
+    got = {r.i: r.problem for r in invariants.gold_problems(df, schema).collect()}
+    assert got == {i: p for i, (_, _, p) in enumerate(cases) if p}
+    pages = spark.createDataFrame([("p", "x"), ("q", "y"), ("r", None)], "page_id string, page_type string")
+    gold = spark.createDataFrame([("p", "age"), ("p", "kind"), ("q", "age"), ("q", "kind"), ("q", "rows")], "page_id string, field_name string")
+    assert [tuple(r) for r in invariants.gold_uncovered(gold, pages, sc.field_defs(spark, schema)).collect()] == [("p", "note")]
+
+
+def test_token_matches_one_by_one(spark):
+    """Against every pair of every page; long and common tokens alike."""
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, " ".join(["the", *(f"w{k}" for k in rng.integers(0, 14, rng.integers(0, 7)))]) if i % 11 else "--") for i in range(90)]
+    got = [(i, p, " ".join(w for k, w in enumerate(t.split(" ")) if (i + k) % 3)) for i, p, t in rows]
+    schema = "k int, page int, text string"
+    a, b = evaluate.token_matches(spark.createDataFrame(rows, schema), spark.createDataFrame(got, schema), "page", "text", "text", "k")
+    import re
+
+    sets = lambda rs: [(k, p, set(re.findall("[a-z0-9]+", t))) for k, p, t in rs]
+    near = [(g, c) for g, p, x in sets(rows) for c, q, y in sets(got) if p == q and x and len(x & y) / len(x) >= 0.6]
+    assert {r.k for r in a.where("hit").collect()} == {g for g, _ in near} and a.count() == 90
+    assert {r.k for r in b.where("spurious").collect()} == {i for i, *_ in got} - {c for _, c in near} and b.count() == 90
+
+
 def test_boxes(spark):
     text = json.dumps({"regions": [{"label": "age", "bbox_2d": [0, 0, 500, 500]}, {"label": "label 'name': x", "bbox_2d": [1, 2, 3, 1000]}, {"label": "age name", "bbox_2d": [0, 0, 9, 9]}, {"label": "age", "bbox_2d": [9, 9, 1, 1]}, {"label": "age", "bbox_2d": [1, 1]}]})
     df = spark.createDataFrame([("p", text, 1000, 2000), ("q", "none", 10, 10)], "page_id string, text string, width_px int, height_px int")

@@ -17,6 +17,10 @@ CASES = [
     (AGE, "34", 34, None), (AGE, '" +34 "', 34, None), (AGE, "34.0", 34, None), (AGE, "1e2", 100, None),
     (AGE, "34.5", None, "34.5 has a fractional part"), (AGE, "true", None, "boolean is not an integer"), (AGE, '"34 years"', None, "'34 years' is not an integer"),
     (AGE, "121", None, "121 is above max 120.0"), (AGE, "-1", None, "-1 is below min 0.0"), (AGE, "[1]", None, "cannot coerce list to integer"), (AGE, "null", None, None),
+    (FieldDef("n", "integer"), "12345678901234567890", 12345678901234567890, None), (FieldDef("n", "integer"), '"-99999999999999999999999"', -99999999999999999999999, None), (AGE, "12345678901234567890", None, "12345678901234567890 is above max 120.0"),
+    (FieldDef("n", "integer"), '"' + "9" * 40 + '"', None, "9" * 40 + " has more than 38 digits"), (FieldDef("n", "integer"), "9223372036854775807", 9223372036854775807, None), (AGE, '{"a": 1}', None, "cannot coerce dict to integer"),
+    (FieldDef("b", "boolean"), '["view", "View"]', None, "['view', 'View'] is not a boolean"), (FieldDef("b", "boolean"), '{"a": [1, null, true], "b\'s": 2.5}', None, "{'a': [1, None, True], \"b's\": 2.5} is not a boolean"), (FieldDef("b", "boolean"), "[]", None, "[] is not a boolean"),
+    (FieldDef("c", "checkbox_group", values=("blood",)), '["blood", null, "x"]', None, "None is not one of ['blood']"), (FieldDef("c", "checkbox_group", values=("blood",)), '[["blood"]]', None, "['blood'] is not one of ['blood']"),
     (FieldDef("t", "float"), '".5"', 0.5, None), (FieldDef("t", "float"), '"5."', 5.0, None), (FieldDef("t", "float"), '"1e3"', None, "'1e3' is not a number"), (FieldDef("t", "float"), "7", 7.0, None),
     (FieldDef("d", "date"), '" 1/2/2025 "', "1/2/2025", None), (FieldDef("d", "date"), '"31/02/2025"', None, "'31/02/2025' does not parse as %d/%m/%Y"), (FieldDef("d", "date"), "5", None, "date must be a string, got int"),
     (FieldDef("d", "date", format="%Y-%m-%d"), '"2025-03-04"', "2025-03-04", None),
@@ -45,6 +49,7 @@ def test_json_text(spark):
 
 
 REPAIRS = [
+    ('{"value": NaN, "legible": true}', {"value": None, "legible": True}), ('{"a": [-Infinity]}', {"a": [None]}),
     ('{"a": 1}', {"a": 1}), ('  {"a": 1}\n', {"a": 1}), ('```json\n{"a": 1}\n```', {"a": 1}), ('```\n{"a": 1}```', {"a": 1}), ('Sure: {"a": {"b": 2}} done', {"a": {"b": 2}}),
     ('x {"a": "}{"} y', {"a": "}{"}), ('{"a": 1,}', {"a": 1}), ('{"a": [1, 2,],}', {"a": [1, 2]}), ('<think>{"a": 0}</think>{"a": 1}', {"a": 1}), ("", None), ("no", None), ('{"a": 1', None), ("[1]", None), ("{'a': None}", None),
     ('[{"a": 1}]', {"a": 1}), ('{"a": 1, "a": 2}', {"a": 2}), ('{"q": "say \\"{\\" now"} tail', {"q": 'say "{" now'}),
@@ -113,6 +118,25 @@ def test_matching(spark):
     assert spark.range(1).select(compare.values_match(got, got, fd)).first()[0]
 
 
+def test_comparison_form_of_other_texts(spark):
+    """Texts that are not in compatibility form, one by one."""
+    import re
+    import unicodedata
+
+    texts = ["Ｏ’Neil  ×３", "ﬁne\u00a0Ｄr．", "\u2460 a—b–c", "e\u0301t\u00e9, ÉTÉ", "\u3000x\u2003y\x1f", "½ ㎎", "", "İI ß ẞ"]
+
+    def form(x):
+        x = unicodedata.normalize("NFKC", x)
+        for a, b in (("’", "'"), ("‘", "'"), ("–", "-"), ("—", "-"), ("×", "x")):
+            x = x.replace(a, b)
+        return re.sub(r"\s+", " ", re.sub(r"[.,;:\-'’]", " ", x)).strip().lower()
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", text.comparison_form(F.col("t")).alias("f"), F.array_sort(text.token_set(F.col("t"))).alias("k")).collect()
+    assert {r.i: r.f for r in got} == {i: form(x) for i, x in enumerate(texts)}
+    assert {r.i: r.k for r in got} == {i: sorted(set(re.findall("[a-z0-9]+", unicodedata.normalize("NFKC", x).lower()))) for i, x in enumerate(texts)}
+
+
 def test_percent_and_strip(spark):
     row = spark.range(1).select(text.percent(F.lit(1), F.lit(8)), text.percent(F.lit(3), F.lit(8)), text.percent(F.lit(1), F.lit(0)), text.strip(F.lit("  a b ")), text.pair_id(F.lit("AMR_004_HTR")), text.pair_id(F.lit("x_1"))).first()
     assert tuple(row) == ("12%", "38%", "-", "a b", "AMR_004", None)
@@ -125,7 +149,7 @@ def test_read_fields(spark):
         ("p1", "name", "primary", "garbage", 5.0), ("p1", "name", "retry", '{"value": "Ann", "legible": true, "confidence": 0.5}', 7.0),
         ("p2", "age", "primary", "garbage", 3.0),
     ]
-    got = {(r.page_id, r.field_name): r for r in read_fields(spark.createDataFrame(rows, "page_id string, field_name string, role string, text string, latency_ms double"), schema, 0.85).collect()}
+    got = {(r.page_id, r.field_name): r for r in read_fields(spark.createDataFrame(rows, "page_id string, field_name string, role string, text string, latency_ms double"), schema.fields, 0.85).collect()}
     assert got["p1", "age"].value == "34" and not got["p1", "age"].flagged
     assert got["p1", "name"].value == '"Ann"' and got["p1", "name"].flagged and got["p1", "name"].latency_ms == 12
     bad = got["p2", "age"]
