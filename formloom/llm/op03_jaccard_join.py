@@ -59,6 +59,8 @@ SLOT_BITS = 28
 GROUP_KEYS = 2_000_000
 #: Rounds in which the sets of larger groups are dealt once each.
 ROUNDS = 4
+#: Rows of a few numbers each (40 MB) that are sent to all executors, at most.
+SENT_ROWS = 500_000
 #: Stands for a null doc_id inside.
 NO_ID = (1 << 63) - 1
 
@@ -139,9 +141,9 @@ def _rows_of(docs: DataFrame, ids: DataFrame):
     """(rows, bits): rows (slot, text) that have all documents of `ids`, and the
     map that tells most others; without a map (null), they are the ids' own."""
     count = ids.count()
-    need = max(17, (8 * count).bit_length())
-    if need <= SLOT_BITS + 2:
-        bits = min(need, SLOT_BITS)
+    if 2 * count <= 1 << SLOT_BITS:
+        # 256 slots and more for each id, as long as the map may grow.
+        bits = min(max(17, (256 * count).bit_length()), max(17, SLOT_BITS))
         return docs.select(_slot("id", bits).alias("slot"), "text"), _slots_of(ids, bits)
     return docs.join(ids.select("id").distinct(), "id", "left_semi").select(F.lit(1).cast("long").alias("slot"), "text"), None
 
@@ -166,7 +168,7 @@ def _own_sets(batches, bits: np.ndarray | None, n: int):
             yield vw[fresh], g[keep], np.concatenate([[0], np.cumsum(size[fresh])])
 
 
-_POSTING = pa.schema([("key", pa.int64()), ("v", pa.int64()), ("w", pa.int64()), ("size", pa.int32())])
+_POSTING = pa.schema([("key", pa.int64()), ("v", pa.int64()), ("size", pa.int32())])
 _SENT = pa.schema([("route", pa.int32()), ("block", pa.int64()), ("doc", pa.binary()), ("key", pa.binary()), ("level", pa.binary())])
 
 
@@ -271,7 +273,7 @@ def _postings(docs: DataFrame, keeper: DataFrame, n: int, num: int, den: int, n_
             d = doc[at]
             for lo in range(0, len(at), 100_000):
                 w = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[at[w]].view(np.int64)), pa.array(vw[d[w], 0]), pa.array(vw[d[w], 1]), pa.array(size[d[w]].astype(np.int32))], schema=_POSTING)
+                yield pa.RecordBatch.from_arrays([pa.array(key[at[w]].view(np.int64)), pa.array(vw[d[w], 0]), pa.array(size[d[w]].astype(np.int32))], schema=_POSTING)
 
         for batch in batches:
             for route, block, doc, key, level in zip(*(c.to_pylist() for c in batch.columns)):
@@ -289,7 +291,7 @@ def _postings(docs: DataFrame, keeper: DataFrame, n: int, num: int, den: int, n_
     schema = "route int, block long, doc binary, key binary, level binary"
     sent = rows.mapInArrow(lean(send), schema).repartition("route").sortWithinPartitions("route")
     back = sent.mapInArrow(lean(settle), schema).repartition("block").sortWithinPartitions("block")
-    return stored(back.mapInArrow(lean(prefixes), "key long, v long, w long, size int"), "postings")
+    return stored(back.mapInArrow(lean(prefixes), "key long, v long, size int"), "postings")
 
 
 def linked_roots(bodies: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -365,6 +367,11 @@ def linked_roots(bodies: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return root
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """`rows`, to be broadcast if they are few enough; else joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
 def _bodies(docs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """(v, w, body) of the sets (v, w, id); one may come from several tasks."""
     rows, bits = _rows_of(docs, sets)
@@ -489,14 +496,14 @@ def _links(docs: DataFrame, postings: DataFrame, keeper: DataFrame, n: int, num:
     sets = sets.join(total, "comp")
     small = stored(sets.where(F.col("total") <= GROUP_KEYS).select("v", "w", "id", F.col("comp").alias("unit")), "asked")
     large = total.where(F.col("total") > GROUP_KEYS).select("comp")
-    near = _compared(_bodies(docs, small.select("id"), n).join(small.drop("id"), ["v", "w"]), num, den)
+    near = _compared(_bodies(docs, small.select("id"), n).join(_sent(small.drop("id")), ["v", "w"]), num, den)
     near = stored(near, "links")
     if large.isEmpty():
         return near
     far = stored(sets.join(large, "comp", "left_semi").select("v", "w", "id"), "large")
     # One set may come from several tasks; its body is kept once.
     bodies = _bodies(docs, far.select("id"), n).join(far.drop("id"), ["v", "w"], "left_semi").groupBy("v", "w").agg(F.any_value("body").alias("body"))
-    own = postings.join(far.drop("id"), ["v", "w"], "left_semi")
+    own = postings.join(far.drop("id"), "v")
     return near.unionByName(_far_links(own, stored(bodies, "bodies"), num, den))
 
 
@@ -509,9 +516,12 @@ def _judged(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     total = keeper.agg(F.sum("size")).first()[0] or 0
     postings = _postings(docs, keeper, n, num, den, max(1, round(total / BUCKET_KEYS)))
     labels = components(_links(docs, postings, keeper.drop("least"), n, num, den))
-    vertex = keeper.withColumn("node", F.struct("v", "w")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lowest = vertex.groupBy("comp").agg(F.min("least").alias("first"))
-    vertex = stored(vertex.join(lowest, "comp").select("v", "w", "first"), "vertex")
+    # Sets with links are few; all others are their own component.
+    linked = keeper.select("v", "w", "least", F.struct("v", "w").alias("node")).join(_sent(labels), "node")
+    linked = stored(linked.select("v", "w", "comp", "least"), "linked")
+    lowest = linked.groupBy("comp").agg(F.min("least").alias("first"))
+    lowest = stored(linked.join(lowest, "comp").select("v", "w", "first"), "lowest")
+    vertex = keeper.select("v", "w", "least").join(_sent(lowest), ["v", "w"], "left").select("v", "w", F.coalesce("first", "least").alias("first"))
     discard(postings)
     own = F.struct("id", "h")
     return profile.join(vertex, ["v", "w"], "left").select("id", "h", "size", F.when(F.col("size") > 0, F.coalesce("first", own)).otherwise(own).alias("first"))
