@@ -249,7 +249,11 @@ def test_stages_on_edges(spark, edge, empty, labels, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, edge, str(tmp_path))
         assert out.columns == columns, name
-        assert out.count() <= 8 * edge.count()
+        if "mixing" in name:  # rates have no bound: rows repeat until targets are met, but all tokens together stay
+            words = lambda df: df.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), " ")))).first()[0]
+            assert words(out) <= 3 * words(edge)
+        else:
+            assert out.count() <= edge.count()
         assert stage(spark, empty, str(tmp_path)).count() == 0
     kept = corpus_pipeline.STAGES[2][1](spark, edge, str(tmp_path)).select("doc_id", "text").collect()
     assert sorted(r.doc_id for r in kept if r.text and r.text.startswith("a b c")) == [5]
