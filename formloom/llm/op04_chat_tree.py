@@ -16,8 +16,9 @@ is depth first.  Conversations are streamed in turn order; no conversation, node
 or tree is gathered.
 
 What moves: texts once, to their conversation, where they are encoded; ids once
-to their node's row and once into stream order; and ids once when read back.  All
-else is a few numbers for each turn.  Nodes of one conversation alone need no
+to their node's row and once into stream order; and ids once when read back.  Ids
+of a vocabulary of at most 2^16 move as 16-bit integers, and are written as 32-bit
+ones.  All else is a few numbers for each turn.  Nodes of one conversation alone need no
 join to find their conversation; nodes that several share are joined on (node,
 salt), and those that very many share (HOT, of which there are few) by a
 broadcast, so no node is a task of its own.
@@ -86,6 +87,15 @@ HOT, HOT_NODES = 10_000, 500_000
 _ROWS = 2000
 
 
+#: 16-bit ids are signed in Spark, so they move less this.
+_SHIFT = 1 << 15
+
+
+def _narrow(tokenizer: str) -> bool:
+    """Whether all ids of the vocabulary fit 16 bits."""
+    return max(encoder(tokenizer, special_text=True).tokenizer.get_vocab().values()) < 1 << 16
+
+
 def _by_conversation(rows: DataFrame, fn, schema: str, order: list[str]) -> DataFrame:
     """fn over the rows of each partition, whole conversations in order."""
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", *order).mapInArrow(lean(fn), schema)
@@ -93,7 +103,8 @@ def _by_conversation(rows: DataFrame, fn, schema: str, order: list[str]) -> Data
 
 def encoded_turns(conversations: DataFrame, tokenizer: str, loss_role: str) -> DataFrame:
     """conv_id, k, node, parent, n_tokens, loss_from, loss_to and ids of every
-    turn; ids are empty where the task had the node before.  Head, body and tail
+    turn; ids are empty where the task had the node before, and less _SHIFT where
+they are 16-bit ones.  Head, body and tail
     are encoded apart, so the mask begins and ends between ids."""
     rows = conversations.select(
         F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv_id"),
@@ -101,6 +112,7 @@ def encoded_turns(conversations: DataFrame, tokenizer: str, loss_role: str) -> D
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    narrow = _narrow(tokenizer)
 
     def run(batches):
         enc, seen = encoder(tokenizer, special_text=True), set()
@@ -126,6 +138,9 @@ def encoded_turns(conversations: DataFrame, tokenizer: str, loss_role: str) -> D
                 size = np.diff(at)
                 loss = np.array([r == loss_role for r in roles], bool)
                 kept = np.concatenate([[0], np.cumsum(np.where(new, size, 0))]).astype(np.int32)
+                moved = ids[np.repeat(new, size)]
+                if narrow:
+                    moved = (moved - _SHIFT).astype(np.int16)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("conv_id"),
@@ -135,12 +150,12 @@ def encoded_turns(conversations: DataFrame, tokenizer: str, loss_role: str) -> D
                         pa.array(size),
                         pa.array(np.where(loss, bounds[1::3] - at[:-1], 0)),
                         pa.array(np.where(loss, bounds[2::3] - at[:-1], 0)),
-                        pa.ListArray.from_arrays(pa.array(kept), pa.array(ids[np.repeat(new, size)])),
+                        pa.ListArray.from_arrays(pa.array(kept), pa.array(moved)),
                     ],
                     names=["conv_id", "k", "node", "parent", "n_tokens", "loss_from", "loss_to", "ids"],
                 )
 
-    schema = "conv_id long, k int, node binary, parent binary, n_tokens long, loss_from long, loss_to long, ids array<int>"
+    schema = f"conv_id long, k int, node binary, parent binary, n_tokens long, loss_from long, loss_to long, ids array<{'smallint' if narrow else 'int'}>"
     return _by_conversation(rows, run, schema, ["turn", "role", "text"])
 
 
@@ -252,7 +267,10 @@ def write_chat_tree(conversations: DataFrame, path: str, tokenizer: str, loss_ro
     rows = layout.join(spans, "node").withColumnRenamed("k", "depth")
     out = rows.join(turns.where(F.size("ids") > 0).drop("k", "n_tokens"), ["node", "conv_id"])
     out = out.select("tree", "node", "parent", "depth", "start", "position", "n_tokens", "ids", "loss_from", "loss_to", "attend", F.col("conv_id").alias("owner"), "n_convs")
-    out.repartitionByRange("start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/nodes")
+    out = out.repartitionByRange("start").sortWithinPartitions("start")
+    if _narrow(tokenizer):
+        out = out.withColumn("ids", F.transform("ids", lambda x: x.cast("int") + _SHIFT))
+    out.write.option("compression", "zstd").parquet(f"{path}/nodes")
     paths = steps.select("conv_id", "k", "node").join(shared.select("node", "n_convs"), "node", "left")
     paths.select(F.nullif("conv_id", F.lit(NO_ID)).alias("conv_id"), "k", "node", F.coalesce("n_convs", F.lit(1)).alias("n_convs")).write.parquet(f"{path}/paths")
     discard(turns, shared)
@@ -273,6 +291,9 @@ def chat_digest(conversations: DataFrame, tokenizer: str) -> DataFrame:
     spark = conversations.sparkSession
     path = scratch(spark, "chat-tree")
     write_chat_tree(conversations, path, tokenizer)
+    turns, narrow = read_turns(spark, path), _narrow(tokenizer)
+    if narrow:
+        turns = turns.withColumn("ids", F.transform("ids", lambda x: (x - _SHIFT).cast("smallint")))
 
     def run(batches):
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -290,7 +311,11 @@ def chat_digest(conversations: DataFrame, tokenizer: str) -> DataFrame:
         for whole in batches:
             for first in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(first, _ROWS)
-                convs, ids, lo, hi = (batch.column(c).to_pylist() for c in ("conv_id", "ids", "loss_from", "loss_to"))
+                convs, lo, hi = (batch.column(c).to_pylist() for c in ("conv_id", "loss_from", "loss_to"))
+                lists = batch.column("ids")
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32) + (_SHIFT if narrow else 0)
+                at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                ids = [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
                 formatted = tok.decode_batch(ids, skip_special_tokens=False)
                 masked = [i for i in range(len(ids)) if lo[i] < hi[i]]
                 loss = dict(zip(masked, tok.decode_batch([ids[i][lo[i] : hi[i]] for i in masked], skip_special_tokens=False)))
@@ -313,4 +338,4 @@ def chat_digest(conversations: DataFrame, tokenizer: str) -> DataFrame:
             yield rows()
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return _by_conversation(read_turns(spark, path), run, schema, ["k"])
+    return _by_conversation(turns, run, schema, ["k"])
